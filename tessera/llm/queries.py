@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, line_dedup, mixing, simhash
+from . import ann, exact_dedup, language_id, line_dedup, mixing, segment_sampling, simhash, token_counts
 from .common import documents
 
 
@@ -24,6 +24,14 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_sampling.encode_samples(documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op10_language_id": op10_language_id,
