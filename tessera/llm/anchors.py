@@ -163,16 +163,26 @@ def find_blocks(docs: DataFrame, units: Callable, length: int, gram: int, keep_f
             w, raw = u.width, u.raw
             content = np.array([digest(raw[a:b]) for a, b in zip((start * w).tolist(), ((start + n + length - 1) * w).tolist())], dtype=np.uint64)
             start, doc = start - u.offsets[doc], ids[doc]
-            order = np.lexsort((start, doc, content, anchor))
-            a, c, i, s = anchor[order], content[order], doc[order], start[order]
-            same = np.concatenate(([False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])))
-            again = np.concatenate(([False], same[1:] & (i[1:] == i[:-1]) & (s[1:] == s[:-1])))
-            order, same = order[~again], same[~again]
-            twice = np.append(same[1:], False) & ~same & (not keep_first)  # the first of several here
-            place = (start[order] << 18) | (n[order] << 10) | (offset[order] << 2) | (np.isin(anchor[order].view(np.int64), heavy).astype(np.int64) << 1) | twice
-            yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(anchor[order].view(np.int64)), pa.array(content[order].view(np.int64)), pa.array(place), pa.array(same)], names=["doc_id", "anchor", "content", "place", "local"])
+            yield met_here(doc, anchor.view(np.int64), content.view(np.int64), start, n, offset, np.isin(anchor.view(np.int64), heavy), keep_first)
 
     rows = docs.mapInArrow(cut, BLOCKS)
+    return meet(rows, keep_first)
+
+
+def met_here(doc: np.ndarray, anchor: np.ndarray, content: np.ndarray, start: np.ndarray, n: np.ndarray, offset: np.ndarray, heavy: np.ndarray, keep_first: bool) -> pa.RecordBatch:
+    """BLOCKS rows: of equal blocks in one stretch, all but the first are settled as local copies."""
+    order = np.lexsort((start, doc, content, anchor))
+    a, c, i, s = anchor[order], content[order], doc[order], start[order]
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])))[: len(a)]
+    again = np.concatenate(([False], same[1:] & (i[1:] == i[:-1]) & (s[1:] == s[:-1])))[: len(a)]
+    order, same = order[~again], same[~again]
+    twice = np.append(same[1:], False)[: len(same)] & ~same & (not keep_first)  # the first of several here
+    place = (start[order] << 18) | (n[order] << 10) | (offset[order] << 2) | (heavy[order].astype(np.int64) << 1) | twice
+    return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(anchor[order]), pa.array(content[order]), pa.array(place), pa.array(same)], names=["doc_id", "anchor", "content", "place", "local"])
+
+
+def meet(rows: DataFrame, keep_first: bool) -> DataFrame:
+    """BLOCKS rows to FOUND rows: one shuffle by anchor (heavy ones by content), then a pass that holds one row at a time."""
     dealt = F.when(F.col("local"), F.xxhash64("doc_id", "place")).when(F.col("place").bitwiseAND(2) != 0, F.xxhash64("anchor", "content")).otherwise(F.col("anchor"))
     return rows.repartition(dealt).sortWithinPartitions("anchor", "content", "doc_id", "place").mapInArrow(_meet(keep_first), FOUND)
 
