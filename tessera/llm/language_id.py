@@ -83,16 +83,17 @@ def infer(text: str, model: np.ndarray) -> tuple[int, float]:
     return int(chosen[1]), min(1.0, max(0.0, chosen[2]))
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with only ``doc_id``, ``held_out`` and ``text`` beforehand; text gives way to lang_pred, score."""
-    names = [*langs]
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all of them, if none are named) with lang_pred and score; no shuffle."""
+    names, keep = [*langs], [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    schema = docs.select(keep).schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(UNDETERMINED, 0.0) if not x or not names or not _LETTER.search(x) else (lambda y: (names[y[0]], y[1]))(infer(x, model)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            found = [(UNDETERMINED, 0.0) if not x or not names or not _LETTER.search(x) else (lambda y: (names[y[0]], y[1]))(infer(x, model)) for x in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(score, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(score, schema)
 
 
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -107,4 +108,11 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
     langs, model = train(docs.filter(~held_out), text, lang)
-    return predict(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")), langs, model)
+    return predict(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")), langs, model, keep=["doc_id", "held_out"])
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows, with all their columns, of which one language makes up ``least`` at least."""
+    held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+    found = predict(docs, *train(docs.filter(~held_out), text, lang), text=text)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(docs.columns)
