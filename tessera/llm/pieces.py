@@ -110,7 +110,9 @@ def chunks(texts: list[bytes], most: int = 16 << 20):
 
 
 def totals(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of the given lengths."""
-    sums = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
-    ends = np.cumsum(lengths)
-    return sums[ends] - sums[ends - lengths]
+    """Sums of consecutive runs of the given lengths, each from its own values alone."""
+    sums = np.zeros(len(lengths), dtype=values.dtype)
+    some = lengths > 0
+    if some.any():
+        sums[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some])
+    return sums

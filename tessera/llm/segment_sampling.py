@@ -97,8 +97,11 @@ class Lattice:
         self.from_, self.to, self.token = from_, to, t  # a state's longest pieces first: mostly its likeliest, so that a draw looks at few
         self.logp = np.minimum(score + back[to] - back[from_], 0.0)
         self.first = np.searchsorted(self.from_, np.arange(len(self.final) + 1))
-        upto = np.cumsum(np.exp(self.logp))
-        self._within = upto - np.concatenate(([0.0], upto))[self.first[self.from_]]
+        self._within = np.exp(self.logp)  # then the sum up to the edge within its state, added in the state's own order
+        degree = np.diff(self.first)
+        for r in range(1, int(degree.max(initial=0))):
+            at = self.first[:-1][degree > r] + r
+            self._within[at] += self._within[at - 1]
         self._within[self.first[self.from_ + 1] - 1] = np.inf  # the last edge takes what rounding leaves
 
     def sample(self, state: np.ndarray, key: np.ndarray, stream: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +147,12 @@ class _Paths:
         self.offset = np.cumsum(count) - count
         self.of = np.repeat(np.arange(len(doc)), count)
         logp, place = lattice.logp[edges], _ramp(count)
-        upto = np.concatenate(([0.0], np.cumsum(logp)))
-        self.before = upto[:-1] - upto[self.offset][self.of]
-        self.logp = upto[self.offset + count] - upto[self.offset]
+        self.before, self.logp = np.zeros(len(edges)), np.zeros(len(doc))
+        for i, (a, b) in enumerate(zip(self.offset.tolist(), (self.offset + count).tolist())):
+            if b > a:  # summed text by text, so that a text's numbers don't depend on its neighbours
+                upto = np.cumsum(logp[a:b])
+                self.before[a + 1 : b] = upto[:-1]
+                self.logp[i] = upto[-1]
         state = lattice.from_[edges]
         only = lattice.first[state + 1] - lattice.first[state] == 1
         with np.errstate(divide="ignore"):
