@@ -40,7 +40,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return w.select("sk", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.max("level").over(full)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 2_000) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted).
 
     * null text: size 0, nothing taken. null source: a source of its own, last in order.
@@ -63,16 +63,16 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     timed = rows.join(offsets, ["sk", "range"]).withColumn("done", F.col("before") + F.sum("size").over(within))
     timed = checkpointed(timed.select("doc_id", "sk", "u", "size", "source_size", "target", *[F.when(F.col("target") > 0, (F.col("done") + e * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0)).alias(f"finish{e}") for e in range(MAX_EPOCHS)]))
 
-    last = _cut(timed, ranges)
+    last = _cut(timed, ranges // 10 + 1)
     place = lambda e: F.struct(F.col(f"finish{e}"), "u", "doc_id", "sk", F.lit(e))
     copies = sum((place(e) <= F.struct(*last)).cast("bigint") for e in range(MAX_EPOCHS)) if last else F.lit(0)
     return timed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"))
 
 
-def _cut(timed: DataFrame, ranges: int) -> list | None:
+def _cut(timed: DataFrame, slots_per_unit: int) -> list | None:
     """The place of the last copy within the budget, as literals; None if there is none."""
     epochs = timed.select("doc_id", "u", "sk", "size", F.posexplode(F.array(*[F.col(f"finish{e}") for e in range(MAX_EPOCHS)])).alias("epoch", "finish"))
-    epochs = epochs.withColumn("slot", F.floor(F.col("finish") * ranges).cast("bigint"))
+    epochs = epochs.withColumn("slot", F.floor(F.col("finish") * slots_per_unit).cast("bigint"))
     budget = F.lit(BUDGET_SHARE)
     slots = epochs.groupBy("slot").agg(F.sum("size").alias("slot_size"), F.sum(F.when(F.col("epoch") == 0, F.col("size")).otherwise(0)).alias("words"))
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
