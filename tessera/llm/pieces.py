@@ -43,10 +43,9 @@ class Vocabulary:
                 ordinary.append(i)
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary has no byte fallback")
-        rank = np.empty(n)
+        rank = np.full(n, float(len(ordinary)))  # bytes: below every piece
         by_score = sorted(ordinary, key=lambda i: (-sp.get_score(i), i))
         rank[by_score] = np.arange(len(by_score))
-        rank[[i for i in range(n) if i not in set(ordinary)]] = len(by_score)  # bytes: below every piece
         self.logp = -np.log(rank + 1) - np.log(np.sum(1 / (rank + 1)))
         nodes: list[dict[int, int]] = [{}]
         ends = [-1]
