@@ -36,7 +36,8 @@ _NEAR = 10
 
 def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k rows of y nearest to each row of x."""
-    d = (y * y).sum(1)[None] - 2 * x @ y.T
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    d = (y * y).sum(1)[None] - 2 * (x @ y.T)
     return np.argpartition(d, min(k, len(y) - 1), axis=1)[:, :k]
 
 
