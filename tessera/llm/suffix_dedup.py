@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import CONTESTED, COPY, byte_units, find_blocks
-from .common import bytes_of, checkpointed
+from .common import bytes_of, written
 
 LENGTH = 100
 GRAM = 16
@@ -295,7 +295,8 @@ DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, start, stop: spans of bytes, overlapping or not, that earlier passages cover. docs: doc_id (not null), text."""
-    found = checkpointed(find_blocks(docs, byte_units, length, gram, keep_first=True))
+    found = find_blocks(docs, byte_units, length, gram, keep_first=True)
+    found = written(found.select("doc_id", "kind", "start", "windows", F.when(F.col("kind") == CONTESTED, F.col("offset")).alias("offset"), F.when(F.col("kind") == CONTESTED, F.col("anchor")).alias("anchor")))
     copies = found.filter(F.col("kind") == COPY).select("doc_id", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
     contested = found.filter(F.col("kind") == CONTESTED)
     large = contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("anchor", F.lit(True).alias("large"))
