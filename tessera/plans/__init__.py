@@ -1,6 +1,6 @@
 """The registered queries, module by module."""
 
-from . import keyed, logs  # noqa: F401
+from . import contents, keyed, logs  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
