@@ -204,6 +204,10 @@ def _settle(length: int):
     def spans(table: pa.Table) -> pa.RecordBatch:
         t = {name: table.column(name).combine_chunks() for name in table.column_names}
         num = {k: t[k].to_numpy() for k in ("anchor", "doc_id", "at", "least", "most")}
+        order = np.lexsort((num["at"], num["doc_id"]))
+        again = np.concatenate(([False], (num["doc_id"][order[1:]] == num["doc_id"][order[:-1]]) & (num["at"][order[1:]] == num["at"][order[:-1]])))
+        if again.any():  # rows that repeat an id are one document
+            return spans(table.take(pa.array(np.sort(order[~again]))))
         rank = np.empty(len(table), np.int64)
         rank[np.lexsort((num["at"], num["doc_id"]))] = np.arange(len(table))
         block, offset = earlier_windows(padded(t["after"]), padded(t["before"]), num["anchor"], rank, num["least"].astype(np.int64), num["most"].astype(np.int64), length)
