@@ -1,18 +1,27 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset (tests in one JVM) a folder of this machine is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset (tests in one JVM), one of this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4()}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

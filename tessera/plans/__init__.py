@@ -1,6 +1,6 @@
 """The registered queries, module by module."""
 
-from . import contents, keyed, linked, logs, relational  # noqa: F401
+from . import contents, encoded, keyed, linked, logs, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
