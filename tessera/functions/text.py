@@ -90,5 +90,5 @@ def byte_range(header: Column, size: Column) -> Column:
 
 def etag_passes(etag: Column, if_match: Column, if_none_match: Column) -> Column:
     """200, 304 (the etag is one that the reader has) or 412 (it is none that the reader wants)."""
-    has = lambda header: F.trim(header).eqNullSafe("*") | F.coalesce(F.array_contains(F.transform(F.split(header, ","), lambda x: F.trim(F.lit('" '), x)), etag), F.lit(False))
+    has = lambda header: F.trim(header).eqNullSafe("*") | F.coalesce(F.array_contains(F.transform(F.split(header, ","), lambda x: F.trim(x, F.lit('" '))), etag), F.lit(False))
     return F.when(if_match.isNotNull() & ~has(if_match), 412).when(if_none_match.isNotNull() & has(if_none_match), 304).otherwise(200)
