@@ -96,7 +96,7 @@ def pre_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]
     return list(index), np.array(found, dtype=np.int64), lengths
 
 
-def chunks(texts: list[bytes], most: int = 16 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 20):
     """Slices of the list that hold about ``most`` bytes at most, one text at least."""
     start, held = 0, 0
     for i, t in enumerate(texts):
