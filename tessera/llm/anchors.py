@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, checkpointed
 
 COPY, CONTESTED = 0, 1
-#: Anchors counted over this many times in all, and at least once in a 1,000,000th of all blocks, are dealt out by content.
+#: Anchors with this many blocks or more, and a MOST_HEAVY-th of all blocks at least, are dealt out by content.
 HEAVY = 2_000
 MOST_HEAVY = 1_000_000
 _LOCAL = 8
@@ -138,9 +138,10 @@ def heavy_anchors(docs: DataFrame, units: Callable, length: int, gram: int) -> n
             often = n >= _LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(np.append(anchors[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), n.sum()))], names=["anchor", "n", "all"])
 
-    counts = docs.mapInArrow(count, "anchor bigint, n bigint, all bigint").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).filter((F.col("n") >= HEAVY) | (F.col("all") > 0)).collect()
-    least = max(HEAVY, sum(r["all"] for r in counts) // MOST_HEAVY)
-    return np.array(sorted(r["anchor"] for r in counts if r["n"] >= least), dtype=np.int64)
+    counts = checkpointed(docs.mapInArrow(count, "anchor bigint, n bigint, all bigint").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("all").alias("all")))
+    blocks_in_all = counts.agg(F.sum("all")).first()[0] or 0
+    least = max(HEAVY, -(-blocks_in_all // MOST_HEAVY))
+    return np.array(sorted(r["anchor"] for r in counts.filter(F.col("n") >= least).select("anchor").collect()), dtype=np.int64)
 
 
 def find_blocks(docs: DataFrame, units: Callable, length: int, gram: int, keep_first: bool) -> DataFrame:

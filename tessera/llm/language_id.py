@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of trigrams. The model, languages x BUCKETS numbers, is all that reaches the driver.
 BUCKETS = 1 << 14
+#: A label column with more values than this holds no languages.
+MOST_LANGUAGES = 1_000
 MAX_SET = 3
 ROUNDS = 15
 UNDETERMINED = "und"
@@ -45,6 +47,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in order, their trigram probabilities). Rows without text or label don't count."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]), key=lambda x: x.encode())
     table = np.ones((len(langs), BUCKETS))
