@@ -115,10 +115,10 @@ def bucket_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE q AS (SELECT source AS namespace, doc_id AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-f AS (SELECT namespace, key, i, CAST(0 AS BIGINT) AS extent, CAST(0 AS BIGINT) AS at, size FROM q WHERE i = 1
-  UNION ALL SELECT q.namespace, q.key, q.i, CASE WHEN f.at + f.size > 0 AND f.at + f.size + q.size > 65536 THEN f.extent + 1 ELSE f.extent END,
-    CASE WHEN f.at + f.size + q.size > 65536 THEN 0 ELSE f.at + f.size END, q.size FROM f JOIN q ON q.namespace = f.namespace AND q.i = f.i + 1)
-SELECT namespace, key, extent, at AS "offset", size FROM f""")
+f AS (SELECT namespace, key, i, CAST(0 AS BIGINT) AS extent, CAST(0 AS BIGINT) AS pos, size FROM q WHERE i = 1
+  UNION ALL SELECT q.namespace, q.key, q.i, CASE WHEN f.pos + f.size > 0 AND f.pos + f.size + q.size > 65536 THEN f.extent + 1 ELSE f.extent END,
+    CASE WHEN f.pos + f.size + q.size > 65536 THEN 0 ELSE f.pos + f.size END, q.size FROM f JOIN q ON q.namespace = f.namespace AND q.i = f.i + 1)
+SELECT namespace, key, extent, pos AS "offset", size FROM f""")
 def small_object_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("namespace"), F.col("doc_id").alias("key"), F.octet_length("text").cast("bigint").alias("size"))
     return catalogue.pack(d, 65_536)

@@ -116,11 +116,11 @@ def acl_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.authorize(requests, rules)
 
 
-@query("""WITH RECURSIVE q AS (SELECT user_id % 32 AS key, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) * 10 AS at, CAST(length(props) AS BIGINT) AS bytes,
+@query("""WITH RECURSIVE q AS (SELECT user_id % 32 AS key, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) * 10 AS ms, CAST(length(props) AS BIGINT) AS bytes,
   row_number() OVER (PARTITION BY user_id % 32 ORDER BY event_id) AS i FROM events),
-f AS (SELECT key, i, seq, at, bytes <= 64 AS admitted, 64 - CASE WHEN bytes <= 64 THEN bytes ELSE 0 END AS tokens FROM q WHERE i = 1
-  UNION ALL SELECT key, i, seq, at, bytes <= t, t - CASE WHEN bytes <= t THEN bytes ELSE 0 END
-  FROM (SELECT q.*, least(64, f.tokens + greatest(0, q.at - f.at) * 5 // 1000) AS t FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1) n)
+f AS (SELECT key, i, seq, ms, bytes <= 64 AS admitted, 64 - CASE WHEN bytes <= 64 THEN bytes ELSE 0 END AS tokens FROM q WHERE i = 1
+  UNION ALL SELECT key, i, seq, ms, bytes <= t, t - CASE WHEN bytes <= t THEN bytes ELSE 0 END
+  FROM (SELECT q.*, least(64, f.tokens + greatest(0, q.ms - f.ms) * 5 // 1000) AS t FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1) n)
 SELECT key, seq, admitted, CAST(tokens AS BIGINT) AS tokens FROM f""")
 def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import seconds
