@@ -69,4 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_substring_dedup": debruijn.ORACLE,
 }

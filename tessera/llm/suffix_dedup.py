@@ -335,3 +335,20 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     finish, schema = (_digested, DIGEST) if digest else (_finish, KEPT)
     none = unknown.withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>")).mapInArrow(finish, schema)
     return remove_spans(known, repeated_spans(known, length), finish, schema).union(none)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS k
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200) x),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win) y WHERE n > 1),
+runs AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM later),
+numbered AS (SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM runs),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+           UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT pieces.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS h, sum(b - a) AS n FROM pieces JOIN d ON d.doc_id = pieces.doc_id GROUP BY pieces.doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(length(d.h) // 2 - n AS BIGINT) AS n_removed,
+       (SELECT count(*) FROM spans WHERE spans.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id
+"""
