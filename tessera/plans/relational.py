@@ -6,6 +6,8 @@ parsing, planning and execution are Spark's own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
@@ -20,8 +22,10 @@ def open_snapshot(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TA
 
 
 def statement(name: str, sql: str, oracle: str | None = None) -> None:
+    named = tuple(t for t in TABLES if re.search(rf"\b{t}\b", sql))  # opening a table reads its footer
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        open_snapshot(spark, sf_dir)
+        open_snapshot(spark, sf_dir, named)
         return spark.sql(sql)
 
     QUERIES[name] = run
