@@ -75,6 +75,13 @@ def test_lines_of_a_large_group_are_found_without_rare_lines(spark):
     assert got[0].n_removed == 0 and all(got[i].text == f"own {i}\ntail {i}" for i in range(1, 80))
 
 
+def test_lines_of_a_large_group_go_beside_a_rarer_line(spark):
+    block = "shared one\nshared two\nshared three"
+    rows = [(i, f"own {i}\n{block}\ntail {i}") for i in range(60)] + [(90, "first of two\nother"), (91, f"own 91\n{block}\nmiddle\nfirst of two")]
+    got = run_lines(spark, rows)
+    assert got[91].text == "own 91\nmiddle" and got[91].n_removed == 4
+
+
 def test_lines_hold_repeated_and_null_ids(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, "a\nc")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, "c")]
