@@ -82,6 +82,14 @@ def test_lines_of_a_large_group_go_beside_a_rarer_line(spark):
     assert got[91].text == "own 91\nmiddle" and got[91].n_removed == 4
 
 
+def test_lines_align_on_all_that_both_hold(spark):
+    copy = "b1\nlicence\nb2\nfooter\nb3"
+    rows = [(1, "footer\nmiddle\nlicence"), (2, copy), (3, "own\n" + copy)]
+    got = run_lines(spark, rows)
+    assert got[2].n_removed == 1  # licence and footer cross in the first document
+    assert got[3].text == "own" and got[3].n_removed == 5
+
+
 def test_lines_hold_repeated_and_null_ids(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, "a\nc")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, "c")]
