@@ -6,8 +6,9 @@ pick equal anchors at equal offsets, so equal windows meet when blocks meet by a
 block is a run of windows of one document with one anchor: about one for each
 (length - gram + 2) / 2 units, which is all that is shuffled; the text is not.
 
-A block whose whole content occurs before needs no look at the text (``COPY``). A block
-whose anchor also occurs with other content does (``CONTESTED``). All others hold no
+A block whose whole content occurs before needs no look at the text (``COPY``); two contents
+are taken for equal if 128 bits are, 64 of the anchor and 64 of all its bytes. A block whose
+anchor also occurs with other content does (``CONTESTED``). All others hold no
 repeated window and go.
 """
 
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from .common import bytes_of, checkpointed
 
 COPY, CONTESTED = 0, 1
-#: Anchors with this many blocks or more, and a MOST_HEAVY-th of all blocks at least, are dealt out by content.
+#: Blocks are counted by slot, the last 16 bits of their anchor. Those of a slot with this many, and
+#: OVER times the mean slot at least, are dealt out by content.
 HEAVY = 2_000
-MOST_HEAVY = 1_000_000
-_LOCAL = 8
+OVER = 4
+_SLOTS = 1 << 16
 _CHUNK = 1 << 22
+#: A unit's place in its stretch fits 32 bits: a string column holds less than 2^31 bytes a value.
+_PLACE = np.uint64((1 << 32) - 1)
 BLOCKS = "doc_id bigint, anchor bigint, content bigint, place bigint, local boolean"
 FOUND = "doc_id bigint, kind int, start int, windows int, offset int, anchor bigint, content bigint, whole boolean"
 
@@ -88,16 +92,18 @@ def _grams(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def blocks(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, the anchor's offset from the first window, anchor) of each block; places in the stretch."""
-    n, x = len(units.hashes), units.hashes
+    """(document, first window, windows, the anchor's offset from the first window, anchor) of each block; places in the stretch.
+
+    Grams are ordered by the first 32 bits of their hash, then from left to right, in every
+    stretch alike, so what a window picks doesn't depend on the text around it.
+    """
+    x = units.hashes
     none = np.zeros(0, dtype=np.int64)
     windows = np.maximum(units.lengths - length + 1, 0)
     if not windows.any():
         return none, none, none, none, none.astype(np.uint64)
     gram_hash = _grams(x, gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = (gram_hash & ~low) | np.arange(len(gram_hash), dtype=np.uint64)
+    least = (gram_hash & ~_PLACE) | np.arange(len(gram_hash), dtype=np.uint64)
     size, span = 1, length - gram + 1
     while size * 2 <= span:
         least = np.minimum(least[:-size], least[size:])
@@ -106,7 +112,7 @@ def blocks(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
         least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
     doc = np.repeat(np.arange(len(windows)), windows)
     at = np.repeat(units.offsets - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    anchor = (least[at] & low).astype(np.int64)
+    anchor = (least[at] & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.append(first, len(at)))
     return doc[first], at[first], count, anchor[first] - at[first], gram_hash[anchor[first]]
@@ -125,23 +131,29 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
             yield ids[start:], texts[start:]
 
 
-def heavy_anchors(docs: DataFrame, units: Callable, length: int, gram: int) -> np.ndarray:
-    """Anchors so common that one task should not hold their blocks. docs: doc_id, text.
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    return (anchor.view(np.uint64) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def heavy_slots(docs: DataFrame, units: Callable, length: int, gram: int) -> np.ndarray:
+    """For each slot, whether its blocks are so many that one task should not hold them. docs: doc_id, text.
 
-    A stretch reports anchors that it has several times. The list is bounded: each entry
-    stands for a MOST_HEAVY-th of all blocks at least. It decides only how blocks are dealt.
+    Every block of every stretch counts, however rare its anchor is in the stretch. The counts
+    decide only how blocks are dealt; a slot that is heavy by chance costs some work.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_SLOTS, dtype=np.int64)
         for _, texts in _stretches(batches):
-            anchors, n = np.unique(blocks(units(texts), length, gram)[4], return_counts=True)
-            often = n >= _LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(anchors[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), n.sum()))], names=["anchor", "n", "all"])
+            n += np.bincount(_slot(blocks(units(texts), length, gram)[4]), minlength=_SLOTS)
+        slots = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n[slots])], names=["slot", "n"])
 
-    counts = checkpointed(docs.mapInArrow(count, "anchor bigint, n bigint, all bigint").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("all").alias("all")))
-    blocks_in_all = counts.agg(F.sum("all")).first()[0] or 0
-    least = max(HEAVY, -(-blocks_in_all // MOST_HEAVY))
-    return np.array(sorted(r["anchor"] for r in counts.filter(F.col("n") >= least).select("anchor").collect()), dtype=np.int64)
+    counts = checkpointed(docs.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")))
+    least = max(HEAVY, OVER * (counts.agg(F.sum("n")).first()[0] or 0) // _SLOTS)
+    heavy = np.zeros(_SLOTS, dtype=bool)
+    heavy[[r["slot"] for r in counts.filter(F.col("n") >= least).select("slot").collect()]] = True
+    return heavy
 
 
 def find_blocks(docs: DataFrame, units: Callable, length: int, gram: int, keep_first: bool) -> DataFrame:
@@ -152,7 +164,7 @@ def find_blocks(docs: DataFrame, units: Callable, length: int, gram: int, keep_f
     an id and its text count once. A task settles the copies within a stretch itself, so a
     passage that a third of all documents hold leaves each stretch as one row to be met.
     """
-    heavy = heavy_anchors(docs, units, length, gram)
+    heavy = heavy_slots(docs, units, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -164,7 +176,7 @@ def find_blocks(docs: DataFrame, units: Callable, length: int, gram: int, keep_f
             w, raw = u.width, u.raw
             content = np.array([digest(raw[a:b]) for a, b in zip((start * w).tolist(), ((start + n + length - 1) * w).tolist())], dtype=np.uint64)
             start, doc = start - u.offsets[doc], ids[doc]
-            yield met_here(doc, anchor.view(np.int64), content.view(np.int64), start, n, offset, np.isin(anchor.view(np.int64), heavy), keep_first)
+            yield met_here(doc, anchor.view(np.int64), content.view(np.int64), start, n, offset, heavy[_slot(anchor)], keep_first)
 
     rows = docs.mapInArrow(cut, BLOCKS)
     return meet(rows, keep_first)

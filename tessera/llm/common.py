@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpointed, new_path
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "bytes_of", "checkpointed", "documents", "whole_text", "written"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bytes_of", "checkpointed", "documents", "of_one_text", "packed", "unpacked", "whole_text", "written"]
 
 #: The characters that separate words in every contract: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -37,3 +37,23 @@ def bytes_of(column) -> list[bytes]:
 
     values = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     return [v or b"" for v in values.to_pylist()]
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of theirs can clash with a column added beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unpacked(columns: list[str], **new: str) -> list[Column]:
+    """The ``packed`` columns of a struct ``row``; ``new`` names those that another column replaces."""
+    return [F.col(new[c]).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def of_one_text(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id names one text, the others) of doc_id, text: null ids and ids that stand with different texts name none."""
+    known, unknown = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
+    text = F.xxhash64(whole_text())
+    several = checkpointed(known.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a <> b").select("doc_id"))
+    if several.isEmpty():
+        return known, unknown
+    return known.join(several, "doc_id", "left_anti"), unknown.union(known.join(several, "doc_id", "left_semi").select("doc_id", "text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import BLOCKS, CONTESTED, COPY, find_blocks, meet, met_here, word_units
-from .common import bytes_of, written
+from .common import bytes_of, of_one_text, written
 from .suffix_dedup import merged, remove_spans
 
 LENGTH = 35
@@ -123,11 +123,12 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     * null text: no words. Texts of fewer words than ``length`` keep all.
     * null doc_id: the row keeps all its words and gives no passage to others.
-    * rows that repeat an id must repeat its text; they count as one document and each gets its result.
+    * rows that repeat an id and its text count as one document and each gets its result; an id that
+      stands with different texts names no document, and its rows are treated as those without an id.
     * no rows: no rows. Other columns of the input are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known, unknown = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
+    known, unknown = of_one_text(rows)
     edges = repeated_edges(known, length)
     spans = compacted_spans(edges, length).select("doc_id", "start", "stop")
     spans = spans.union(edges.filter(F.col("role") == _KMER).select("doc_id", "start", (F.col("start") + length).alias("stop")))

@@ -8,6 +8,10 @@ They are ordered by deep-shallow sorting: a multikey quicksort over 8-byte keys
 depth, then, in the groups that still agree, a blind trie. Common prefixes of neighbours in
 the two orders then give, for each offset of a window to its anchor, the windows that are
 equal, and the earliest of them stays.
+
+Two kinds of windows don't go through the sort: those of a block whose content occurs earlier
+as a whole are settled when blocks meet, and those at an anchor with over ``GROUP`` contested
+blocks are grouped by a 128-bit digest of their bytes, which splits such a group among tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import CONTESTED, COPY, byte_units, find_blocks
-from .common import bytes_of, written
+from .common import bytes_of, of_one_text, written
 
 LENGTH = 100
 GRAM = 16
@@ -327,11 +331,12 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     * null text: empty. Texts shorter than ``length`` bytes keep everything.
     * null doc_id: the row keeps everything and gives no passage to others.
-    * rows that repeat an id must repeat its text; they count as one document and each gets its result.
+    * rows that repeat an id and its text count as one document and each gets its result; an id that
+      stands with different texts names no document, and its rows are treated as those without an id.
     * no rows: no rows. Other columns of the input are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known, unknown = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
+    known, unknown = of_one_text(rows)
     finish, schema = (_digested, DIGEST) if digest else (_finish, KEPT)
     none = unknown.withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>")).mapInArrow(finish, schema)
     return remove_spans(known, repeated_spans(known, length), finish, schema).union(none)

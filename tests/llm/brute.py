@@ -75,6 +75,32 @@ def components(ids, prints, radius: int = 2):
         label = new
 
 
+def lines(rows, align):
+    """doc_id to (text left, lines removed), pair by pair; ``align`` names the aligned places of the later document."""
+    texts = {d: t for d, t in rows if t is not None}
+    first_of: dict[str, int] = {}
+    for d in sorted(texts):
+        first_of.setdefault(texts[d], d)
+    split = {d: texts[d].split("\n") for d in first_of.values()}
+    places = {d: {x: [i for i, y in enumerate(ls) if y == x] for x in ls if x.strip()} for d, ls in split.items()}
+    holder: dict[str, int] = {}
+    for d in sorted(split):
+        for x in places[d]:
+            holder.setdefault(x, d)
+    out = {d: (None, 0) for d, t in rows if t is None}
+    for d, t in texts.items():
+        ls = t.split("\n")
+        if first_of[t] != d:
+            left = [x for x in ls if not x.strip()]
+        else:
+            gone = set()
+            for b in {holder[x] for x in places[d]} - {d}:
+                gone |= set(align([(at, places[b][x]) for x, at in places[d].items() if x in places[b]]))
+            left = [x for i, x in enumerate(ls) if i not in gone]
+        out[d] = ("\n".join(left), len(ls) - len(left))
+    return out
+
+
 def fragments(seed: int, n: int, alphabet, sep: str, most: int):
     """n texts stitched from shared fragments, some periodic, some null."""
     rng = random.Random(seed)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from itertools import combinations
 
 import brute
 import numpy as np
@@ -45,6 +47,18 @@ def test_tile_links_skip_only_far_tiles():
     assert small.tolist() == label
 
 
+def test_buckets_beyond_a_tile(spark):
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.integers(0, 1 << 16, 5000, dtype=np.uint64)) | np.uint64(0xABCD << 32)  # one bucket: the other bits agree
+    assert len(fp) > 2 * simhash.TILE
+    rows = spark.createDataFrame([(0, 7, int(f), i) for i, f in enumerate(fp)], "choice int, bucket long, fp long, node long").coalesce(1)
+    pairs = rows.mapInArrow(simhash._bucket_links(simhash.RADIUS), "a long, b long").collect()
+    label = list(range(len(fp)))
+    for r in pairs:
+        label[r.a] = min(label[r.a], r.b)
+    assert label == simhash.tile_links(fp, simhash.RADIUS, tile=1 << 20).tolist()
+
+
 def test_components_of_long_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(300, 340)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -69,9 +83,9 @@ def test_lines_align_with_the_first_holder(spark):
     assert got[8].text == "x\nx\nx"
 
 
-def test_lines_of_a_large_group_are_found_without_rare_lines(spark):
+def test_lines_of_a_large_group_are_found(spark):
     rows = [(i, f"own {i}\nshared one\nshared two\ntail {i}") for i in range(80)]
-    got = run_lines(spark, rows, rare=5)
+    got = run_lines(spark, rows)
     assert got[0].n_removed == 0 and all(got[i].text == f"own {i}\ntail {i}" for i in range(1, 80))
 
 
@@ -96,6 +110,50 @@ def test_lines_hold_repeated_and_null_ids(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lines_as_brute_force(spark):
+    rng = random.Random(6)
+    base = [[f"line {rng.randrange(60)}" for _ in range(rng.randrange(2, 12))] for _ in range(14)]
+    rows = []
+    for i in range(120):
+        t = []
+        for _ in range(rng.randrange(0, 4)):
+            b = rng.choice(base)
+            s = rng.randrange(len(b))
+            t += b[s : s + rng.randrange(1, 9)] + [rng.choice(["", " \t", f"own {i}"])]
+        rows.append((i * 2 + 1, "\n".join(t) if rng.random() > 0.05 else None))
+    rows += [(r[0] + 1, r[1]) for r in rng.sample(rows, 15)]  # exact copies
+    got = run_lines(spark, rows)
+    want = brute.lines(rows, line_dedup.patience)
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == want
+
+
+def test_lines_keep_other_columns_as_they_are(spark):
+    names = "_gone _copy _id _content _kept _n row gone copy doc n_removed".split()
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", `a.b` string"
+    df = spark.createDataFrame([(1, "a\nb", *names, "dot"), (2, "b\nc", *names, "dot")], schema)
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["a\nb", "c"] and [r.n_removed for r in got] == [0, 1]
+    for r in got:
+        assert [r[n] for n in names if n != "n_removed"] == [n for n in names if n != "n_removed"] and r["a.b"] == "dot"
+
+
+def test_patience_keeps_a_longest_common_order():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randrange(1, 8)
+        ys = rng.sample(range(n), n)
+        best = max(sum(1 for _ in c) for k in range(n + 1) for c in combinations(range(n), k) if all(ys[a] < ys[b] for a, b in zip(c, c[1:])))
+        # far apart, so that no block grows
+        assert len(line_dedup.patience([([3 * i], [5 * y]) for i, y in enumerate(ys)])) == best
+
+
+def test_lines_of_very_long_texts():
+    n = 200_000
+    began = time.perf_counter()
+    assert len(line_dedup.patience([([i], [i]) for i in range(n)] + [(list(range(n, 2 * n)), list(range(n, 2 * n)))])) == 2 * n
+    assert time.perf_counter() - began < 10
+
+
 def test_patience_grows_blocks_over_repeated_lines():
     # lines of the later document 0..4 equal 10..14 of the first; lines 1 and 3 repeat in both
     shared = [([0], [10]), ([1, 3], [11, 13]), ([2], [12]), ([4], [14])]

@@ -43,6 +43,38 @@ def test_deep_shallow_sort_orders_bytes():
             assert n == next((k for k in range(104) if a[k] != b[k]), 104)
 
 
+def test_anchors_do_not_depend_on_the_stretch():
+    rng = np.random.default_rng(5)
+    h = rng.integers(1 << 63, (1 << 64) - 1, 10, dtype=np.uint64)
+    h[2], h[6] = np.uint64((5 << 32) + 9), np.uint64((5 << 32) + 8)  # agree in 32 bits, and further in far fewer than 64
+    alone = anchors.Units(h, np.array([10]), memoryview(h).cast("B"), 8)
+    other = rng.integers(1 << 63, (1 << 64) - 1, 1 << 20, dtype=np.uint64)
+    both = np.concatenate((other, h))
+    beside = anchors.Units(both, np.array([1 << 20, 10]), memoryview(both).cast("B"), 8)
+    a, b = anchors.blocks(alone, 10, 1), anchors.blocks(beside, 10, 1)
+    mine = b[0] == 1
+    assert [x.tolist() for x in (a[2], a[3], a[4])] == [x[mine].tolist() for x in (b[2], b[3], b[4])] == [[1], [2], [int(h[2])]]
+
+
+def test_passages_beside_much_other_text(spark):
+    rows = byte_rows()[:60]
+    rng = random.Random(1)
+    other = [(10_000 + i, "".join(map(chr, rng.choices(range(33, 120), k=1 << 21)))) for i in range(2)]
+    alone = passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    beside = passages(spark.createDataFrame(rows + other, "doc_id long, text string").coalesce(1))
+    assert {k: beside[k] for k in alone} == alone
+
+
+@pytest.mark.parametrize("run", [passages, substrings])
+def test_ids_with_different_texts(spark, run):
+    long = " ".join(f"x{i}" for i in range(400))
+    rows = [(1, long), (2, long), (3, "a"), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    operator = suffix_dedup.dedup_passages if run is passages else debruijn.dedup_substrings
+    got = sorted((r.doc_id, r.n_removed > 0) for r in operator(df).collect())
+    assert got == [(1, run is substrings), (2, True), (3, False), (3, False)]
+
+
 def test_passages_as_brute_force(spark):
     rows = byte_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
