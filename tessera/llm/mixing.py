@@ -11,10 +11,10 @@ a window inside each range. A source with a third of all rows has a third of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, checkpointed, whole_text
+from .common import WORD_CLASS, checkpointed, packed, unpacked, whole_text, written
 
 #: Fixed values of the mix: source weights in turn, budget as a share of all words, copies at most.
 WEIGHTS = (5, 2, 1)
@@ -40,17 +40,18 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return w.select("sk", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.max("level").over(full)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 2_000) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted).
-
-    * null text: size 0, nothing taken. null source: a source of its own, last in order.
-    * rows that repeat an id are separate documents; ties fall to the shuffled key, then the id.
-    * no rows, or no words at all: every taken is 0. Other columns of the input are not read.
-    """
+def _keyed(doc_id: str, text: str, source: str) -> dict[str, Column]:
+    """The columns that place a row in its source's order; rows that agree in all of them are alike."""
     size = F.regexp_count(whole_text(text), F.lit(WORD_CLASS)).cast("bigint")
     sk = F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
-    rows = checkpointed(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), sk.alias("sk"), size.alias("size"), u.alias("u")))
+    shuffled = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("?"), whole_text(text)))  # rows without an id are shuffled by their text
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), shuffled)), 1, 15), 16, 10).cast("bigint")
+    return {"sk": sk, "u": u, "size": size}
+
+
+def _taken(docs: DataFrame, doc_id: str, text: str, source: str, rows_per_range: int) -> DataFrame:
+    """doc_id, sk, u, size, source_size, target, copies (how many times the mix takes the row): one row per input row."""
+    rows = checkpointed(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[c.alias(n) for n, c in _keyed(doc_id, text, source).items()]))
     ranges = rows.count() // rows_per_range + 1
     rows = rows.withColumn("range", F.floor(F.col("u") / F.lit(-(-_SPAN // ranges))).cast("bigint"))
 
@@ -66,7 +67,39 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     last = _cut(timed, ranges // 10 + 1)
     place = lambda e: F.struct(F.col(f"finish{e}"), "u", "doc_id", "sk", F.lit(e))
     copies = sum((place(e) <= F.struct(*last)).cast("bigint") for e in range(MAX_EPOCHS)) if last else F.lit(0)
-    return timed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"))
+    return timed.select("doc_id", "sk", "u", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+
+
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 2_000) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted).
+
+    * null text: size 0, nothing taken. null source: a source of its own, last in order.
+    * rows that repeat an id are separate documents; ties fall to the shuffled key, then the id.
+    * null doc_id: the row is shuffled by its text.
+    * no rows, or no words at all: every taken is 0. Other columns of the input are not read.
+    """
+    return _taken(docs, doc_id, text, source, rows_per_range).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 2_000) -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as ``mix_sources`` takes it.
+
+    Rows find their copies by what places them in their source's order, so null and repeated
+    ids lose nothing. Of rows alike in that, where the mix takes some more often than others,
+    any are the ones: their id, source and size are the same. Rows without words are not taken.
+    """
+    key = ["sk", "u", "id", "size"]
+    id_ = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias("id")  # noqa: E731  (rows without one have a u of their own)
+    takes = _taken(docs, doc_id, text, source, rows_per_range).filter("size > 0")
+    takes = written(takes.groupBy("sk", "u", id_("doc_id"), "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).filter("copies > 0"))
+    rows = docs.select(packed(docs).alias("row"), id_(doc_id), *[c.alias(n) for n, c in _keyed(doc_id, text, source).items()]).join(takes, key)
+    times = F.floor(F.col("copies") / F.col("alike"))
+    if not takes.filter("copies % alike <> 0").isEmpty():
+        turn = F.row_number().over(Window.partitionBy(*key).orderBy("copies"))
+        rows = rows.withColumn("turn", turn)
+        times = times + (F.col("turn") <= F.col("copies") % F.col("alike")).cast("bigint")
+    rows = rows.withColumn("times", times).filter("times > 0")
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(*unpacked(docs.columns))
 
 
 def _cut(timed: DataFrame, slots_per_unit: int) -> list | None:
@@ -98,7 +131,7 @@ ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, coalesce('0' || source, '1') AS sk,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS u
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '?' || coalesce(text, ''))), 1, 15) AS BIGINT) AS u
   FROM documents),
 s0 AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY sk),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY sk) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,

@@ -29,7 +29,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_sampling.encode_samples(documents(spark, sf_dir))
+    """Encoding, and decoding of what it gives: decoded_sha256 is the digest of the text, null as empty."""
+    return segment_sampling.encode_samples(documents(spark, sf_dir), decoded=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

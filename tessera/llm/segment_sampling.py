@@ -15,6 +15,7 @@ samples don't depend on its neighbours, the partitioning or a retry.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import mix
 from .common import bytes_of
 from .pieces import MODEL, Vocabulary, chunks, pre_tokens, read_model, vocabulary
 
@@ -29,17 +31,10 @@ SAMPLES = 2
 SEED = 20_240_601
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def uniform(key: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     """A number in (0, 1) for each (row key, stream, place)."""
-    x = _mix(key.astype(np.uint64) + np.uint64((stream * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
-    x = _mix(x + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    x = mix(key.astype(np.uint64) + np.uint64((stream * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+    x = mix(x + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -225,9 +220,11 @@ def sample_segmentations(lattice: Lattice, word: np.ndarray, lengths: np.ndarray
         paths.append(_Paths(lattice, doc, join(edges), join(words), tokens, seeds[doc], best[doc], 4 * r + 2, turns[:, 1]))
 
 
-def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = SEED, model_path: str = MODEL) -> DataFrame:
+def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = SEED, model_path: str = MODEL, decoded: bool = False) -> DataFrame:
     """Up to ``samples`` rows per input row: doc_id, sample (from 1), ids, log_prob, perturbed, log_inclusion.
 
+    decoded adds decoded_sha256: the digest of the text that the row's ids decode to.
+
     log_prob is the segmentation's log-probability given the text, perturbed its noisy value
     (descending in sample), log_inclusion the log-probability that it is among the samples
     given the (samples + 1)-th noisy value; 0 where the text has no more segmentations.
@@ -246,25 +243,31 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for part in chunks(texts):
                 words, at, lengths = pre_tokens(texts[part])
                 keys = ids[part.start : part.stop]
-                seeds = _mix(keys.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
+                seeds = mix(keys.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
                 lattice = Lattice(words, v) if words else None
                 if lattice is None:
                     n = len(lengths)
-                    yield _rows(keys, np.ones(n, np.int32), np.zeros(n, np.int64), np.zeros(0, np.int32), np.zeros(n), -np.log(-np.log(uniform(seeds, 0, np.zeros(n, np.uint64)))), np.zeros(n))
+                    yield _rows(keys, np.ones(n, np.int32), np.zeros(n, np.int64), np.zeros(0, np.int32), np.zeros(n), -np.log(-np.log(uniform(seeds, 0, np.zeros(n, np.uint64)))), np.zeros(n), v if decoded else None)
                     continue
                 paths, threshold = sample_segmentations(lattice, at, lengths, seeds, samples)
                 for rank, p in enumerate(paths, 1):
                     gap = p.logp - threshold[p.doc]
                     with np.errstate(over="ignore", divide="ignore"):
                         inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))))
-                    yield _rows(keys.take(pa.array(p.doc)), np.full(len(p.doc), rank, np.int32), p.count, lattice.token[p.edges].astype(np.int32), p.logp, p.value, inclusion)
+                    yield _rows(keys.take(pa.array(p.doc)), np.full(len(p.doc), rank, np.int32), p.count, lattice.token[p.edges].astype(np.int32), p.logp, p.value, inclusion, v if decoded else None)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    schema = "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", decoded_sha256 string" * decoded
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _rows(doc_id: pa.Array, rank: np.ndarray, count: np.ndarray, ids: np.ndarray, log_prob: np.ndarray, value: np.ndarray, inclusion: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(ids))
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(rank), lists, pa.array(log_prob), pa.array(value), pa.array(inclusion)], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+def _rows(doc_id: pa.Array, rank: np.ndarray, count: np.ndarray, ids: np.ndarray, log_prob: np.ndarray, value: np.ndarray, inclusion: np.ndarray, decoder: Vocabulary | None) -> pa.RecordBatch:
+    ends = np.concatenate(([0], np.cumsum(count)))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    columns = {"doc_id": doc_id, "sample": pa.array(rank), "ids": lists, "log_prob": pa.array(log_prob), "perturbed": pa.array(value), "log_inclusion": pa.array(inclusion)}
+    if decoder is not None:
+        texts = (decoder.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+        columns["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def decode(rows: DataFrame, ids: str = "ids", into: str = "text", model_path: str = MODEL) -> DataFrame:

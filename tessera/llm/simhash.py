@@ -6,7 +6,10 @@ tile with every other would grow with the square of the table, so tiles are form
 buckets that lose nothing: of ``BLOCKS`` blocks of bits, ``radius`` differing bits leave all
 but ``radius`` blocks equal, so two linked fingerprints share a bucket for at least one
 choice of left-out blocks. A bucket fixes 48 of 64 bits; it holds 65,536 distinct
-fingerprints at most, whatever the size of a group of copies.
+fingerprints at most, whatever the size of a group of copies. So the buckets are the index that
+makes the work linear, and most hold one or two fingerprints; tiles are what a full one needs.
+
+``near_sets`` links texts of a given similarity instead, as the pipeline does.
 """
 
 from __future__ import annotations
@@ -30,20 +33,24 @@ TILE = 2048
 _CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of hashes: bit i is set if it is set in over half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint: bit i is set if it is set in over half of the shingles' XXH64."""
+    """The fingerprint of the XXH64 of all shingles, repeats included; of none it is zero."""
     words = text.lower().split()  # on bytes: lowers A-Z, splits at the six ASCII white spaces
     if not words:
         return 0
     joined, k = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    starts, ends, digest = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(starts), _CHUNK):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -65,14 +69,67 @@ def test_held_out_accuracy(spark, sf_dir):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def model_of(*texts):
+    counts = [np.bincount(language_id.trigrams(t), minlength=language_id.BUCKETS) + 1.0 for t in texts]
+    return np.stack([c / c.sum() for c in counts])
+
+
 def test_mixtures_and_languages_set():
-    a, b = np.full(language_id.BUCKETS, 1e-9), np.full(language_id.BUCKETS, 1e-9)
-    for t, p in (("aaa bbb abab", a), ("xxx yyy xyxy", b)):
-        p += np.bincount(language_id.trigrams(t * 50), minlength=language_id.BUCKETS)
-    model = np.stack([a / a.sum(), b / b.sum()])
-    assert language_id.infer("aaa bbb abab " * 5, model)[0] == 0
-    lang, share = language_id.infer("aaa bbb abab " * 9 + "xxx yyy xyxy " * 3, model)
-    assert lang == 0 and 0.6 < share < 0.9
+    model = model_of("aaa bbb abab" * 50, "xxx yyy xyxy" * 50)
+    langs, shares, _ = language_id.infer("aaa bbb abab " * 5, model)
+    assert langs == [0] and shares == [1.0]
+    langs, shares, _ = language_id.infer("aaa bbb abab " * 9 + "xxx yyy xyxy " * 3, model)
+    assert langs == [0, 1] and 0.6 < shares[0] < 0.9 and abs(sum(shares) - 1) < 1e-9
+
+
+def test_sets_of_more_than_three_languages():
+    words = ["alpha beta", "jump over", "quick zig", "mint ford", "wind yard"]
+    model = model_of(*[w * 400 for w in words])
+    langs, shares, _ = language_id.infer(" ".join(words * 60), model)
+    assert sorted(langs) == list(range(5)) and max(shares) < 0.3
+
+
+def test_sets_as_brute_force():
+    """Every set of languages, by EM in plain Python with many rounds: the best penalised likelihood, or very near it."""
+    rng = random.Random(5)
+    words = [[("".join(rng.choice(letters) for _ in range(4))) for _ in range(12)] for letters in ("abcde", "fghij", "cdfgk", "lmnop")]
+    model = model_of(*[" ".join(rng.choice(ws) for _ in range(800)) for ws in words])
+    for n in (1, 1, 2, 2, 3, 3, 4):
+        text = " ".join(rng.choice(words[j]) for j in rng.sample(range(4), n) for _ in range(40))
+        counts = Counter(language_id.trigrams(text).tolist())
+        total = sum(counts.values())
+
+        def em(langs):
+            share = dict.fromkeys(langs, 1 / len(langs))
+            for _ in range(400):
+                new = dict.fromkeys(langs, 0.0)
+                for t, c in counts.items():
+                    whole = sum(share[j] * model[j, t] for j in langs)
+                    for j in langs:
+                        new[j] += c * share[j] * model[j, t] / whole / total
+                share = new
+            return sum(c * math.log(sum(share[j] * model[j, t] for j in langs)) for t, c in counts.items()), share
+
+        best, langs, share = max((em(s)[0] - 0.5 * math.log(total) * k, s, em(s)[1]) for k in range(1, 5) for s in combinations(range(4), k))
+        got, shares, _ = language_id.infer(text, model)
+        assert tuple(sorted(got)) == langs and all(abs(share[j] - x) < 0.01 for j, x in zip(got, shares))
+
+
+def test_more_labels_than_the_classifier_learns(spark):
+    rows = [(i, f"text of label {i % 40} " * 3, f"l{i % 40:02d}") for i in range(200)] + [(1000 + i, "und der " * 9, "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify_languages(df, most=3).collect()
+    assert len(got) == len(rows) and len({r.lang_pred for r in got}) <= 3 and all(r.lang_pred == "de" for r in got if r.doc_id >= 1000)
+
+
+def test_identified_rows_come_back_as_they_are(spark):
+    rows = [(i, w * 30, lang, "keepme", "mine", "row") for i, (w, lang) in enumerate([("the and ", "en"), ("der und ", "de")] * 20)]
+    rows += [(None, "the and the", "en", "keepme", "mine", "row"), (50, "1 2", "en", "keepme", "mine", "row"), (51, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string, row string")
+    got = language_id.keep_identified(df)
+    assert got.columns == df.columns and sorted(map(repr, got.collect())) == sorted(map(repr, df.filter("doc_id is null or doc_id < 50").collect()))
+    noise = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9000, 400)))
+    assert language_id.keep_identified(df.union(spark.createDataFrame([(55, noise, None, "", "", "")], df.schema))).filter("doc_id = 55").count() == 0
 
 
 def test_language_edge_cases(spark):
@@ -87,4 +144,4 @@ def test_language_edge_cases(spark):
     assert language_id.identify_languages(df.limit(0)).count() == 0
     unlabelled = language_id.identify_languages(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
-    assert language_id.keep_identified(df).columns == df.columns and language_id.keep_identified(df).filter("doc_id in (100, 101, 102)").count() == 0
+    assert all(r.langs == [] and r.shares == [] for r in (by[100], by[101], by[102])) and by[103].langs[0] == "de" and by[103].shares[0] == by[103].score

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 from collections import Counter
@@ -56,7 +57,7 @@ def test_top_two_follow_the_law_without_replacement(v):
     z = np.logaddexp.reduce(list(every.values()))
     p = {s: math.exp(x - z) for s, x in every.items()}
     n = 20_000
-    seeds = segment_sampling._mix(np.arange(n).astype(np.uint64))
+    seeds = segment_sampling.mix(np.arange(n).astype(np.uint64))
     paths, threshold = segment_sampling.sample_segmentations(lattice, np.tile([0, 1], n), np.full(n, 2), seeds, 2)
     one, two = ([tuple(lattice.token[q.edges[o : o + c]].tolist()) for o, c in zip(q.offset, q.count)] for q in paths)
     pairs = Counter(zip(one, two))
@@ -87,6 +88,13 @@ def test_round_trip_and_distinct_samples(spark):
         assert [r.perturbed for r in rows] == sorted((r.perturbed for r in rows), reverse=True)
 
 
+def test_decoded_digests(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    texts = dict(ROWS)
+    for r in segment_sampling.encode_samples(df, decoded=True).collect():
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
 def test_samples_depend_on_the_row_alone(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     all_ = {(r.doc_id, r["sample"]): tuple(r) for r in segment_sampling.encode_samples(df.coalesce(1)).collect()}
