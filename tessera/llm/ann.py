@@ -4,34 +4,39 @@ On a bounded sample the neighbour graph is cut into equal parts (spectral bisect
 median, level by level) and a small softmax classifier learns, from a vector, where the
 neighbours of its like lie. The classifier then places every row in its most probable
 partition and routes each query to its most probable ones, whose rows are ranked again by
-exact distance. How many partitions a query visits is measured on the sample: the fewest
-that hold ``goal`` of the sample's true neighbours, so data without structure costs more
-visits rather than recall.
+exact distance. How many partitions a query visits is measured on sampled rows that the
+classifier hasn't seen: the fewest that hold ``goal`` of their true neighbours. Data in
+clusters cost a few visits; vectors without structure cost most of the partitions.
 
-The sample (``SAMPLE`` rows) and the model are all that reaches the driver. Rows and queries
-of a partition are dealt into blocks of at most ``BLOCK``, so a vector that a third of all
-rows share fills many blocks, each searched by its own task.
+A partition of over ``LEAF`` rows is divided again in the same way, by a classifier fitted to a
+sample of its own rows, and so on: partitions grow in number with the table, not in size. A
+sample (about ``SAMPLE`` rows) is drawn from all rows of its partition and fitted in one task;
+the models are a table that is joined by partition, and nothing but counts reaches the driver.
+Rows and queries of a partition are dealt into blocks
+of about ``BLOCK``, so a vector that a third of all rows share, which no classifier divides,
+fills many blocks, each searched by its own task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 SAMPLE = 4096
 PARTITIONS = 32
 #: A partition is learned from this many sampled rows at least; smaller tables have fewer partitions.
 ROWS_PER_PARTITION = 128
+LEAF = 32_768
 BLOCK = 16_384
-GOAL = 0.97
+GOAL = 0.95
 _NEAR = 10
+_HUGE, _TINY = 2.0**500, 2.0**-500
 
 
 def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -87,11 +92,14 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, hidden: int = 64, epochs:
 
 
 class Router:
-    """Orders the partitions of a vector from most to least probable."""
+    """Orders the parts of a partition, for a vector, from most to least probable."""
 
     def __init__(self, sample: np.ndarray, goal: float = GOAL) -> None:
-        self.mean, self.scale = sample.mean(0), sample.std() + 1e-12
-        x = (sample - self.mean) / self.scale
+        self.unit = np.abs(sample).max()
+        self.mean, self.scale = 0.0, 1.0
+        x = sample / self.unit
+        self.mean, self.scale = x.mean(0), x.std() + 1e-12
+        x = self._features(sample)
         self.parts = int(2 ** np.floor(np.log2(max(1, min(PARTITIONS, len(x) // ROWS_PER_PARTITION)))))
         near = _nearest(x, x, min(_NEAR + 1, len(x)))
         part = partition_graph(near, self.parts)
@@ -107,13 +115,37 @@ class Router:
         ranks = np.take_along_axis(rank, home[near[held]], axis=1)
         self.visits = int(np.quantile(ranks, goal, method="higher")) + 1 if held.any() else self.parts
 
+    def _features(self, vectors: np.ndarray) -> np.ndarray:
+        return np.clip((vectors / self.unit - self.mean) / self.scale, -1e3, 1e3)
+
     def order(self, vectors: np.ndarray) -> np.ndarray:
-        h = np.tanh((vectors - self.mean) / self.scale @ self.net[0] + self.net[1])
+        h = np.tanh(self._features(vectors) @ self.net[0] + self.net[1])
         return np.argsort(-(h @ self.net[2] + self.net[3]), axis=1, kind="stable")
 
+    def routes(self, vectors: np.ndarray, sizes: np.ndarray, k: int) -> list[list[int]]:
+        """The parts each vector visits: the most probable ones, more only if these hold fewer than k other rows."""
+        order = self.order(vectors)
+        held = np.cumsum(sizes[order], axis=1)
+        enough = np.where(held[:, -1] > k, np.argmax(held > k, axis=1) + 1, self.parts)
+        return [o[: max(self.visits, n)].tolist() for o, n in zip(order, enough)]
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_list() if isinstance(column, pd.Series) else column.to_pylist(), dtype=np.float64)
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64) if len(column) else np.zeros((0, 0))
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; rows whose squares would overflow or vanish are scaled by a power of two."""
+    d = x - q
+    with np.errstate(over="ignore"):
+        score = np.sqrt((d * d).sum(1))
+    odd = np.flatnonzero(~((score < _HUGE) & (score > _TINY)))
+    if len(odd):
+        half = x[odd] / 2 - q / 2
+        unit = np.exp2(np.floor(np.log2(np.maximum(np.abs(half).max(1), 5e-324))))
+        with np.errstate(over="ignore"):
+            score[odd] = np.sqrt(((half / unit[:, None]) ** 2).sum(1)) * unit * 2
+    return score
 
 
 def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -121,27 +153,106 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(rows) or not len(queries):
         return empty
-    x, ids = np.stack(rows["v"].to_list()).astype(np.float64), rows["vec_id"].to_numpy()
-    found, squares = [], (x * x).sum(1)
+    x, ids, asked = _matrix(rows["v"]), rows["vec_id"].to_numpy(), _matrix(queries["v"])
+    most = max(np.abs(x).max(), np.abs(asked).max())
+    unit = 1.0 if _TINY < most < _HUGE else np.exp2(np.floor(np.log2(most)))
+    small, found = x / unit, []
+    squares = (small * small).sum(1)
     for at in np.array_split(np.arange(len(queries)), len(queries) // 256 + 1):
-        q, q_ids = np.stack(queries["v"].iloc[at].to_list()).astype(np.float64), queries["vec_id"].to_numpy()[at]
-        rough = squares[None] - 2 * q @ x.T
+        q, q_ids = asked[at], queries["vec_id"].to_numpy()[at]
+        small_q = q / unit
+        rough = squares[None] - 2 * small_q @ small.T
         rough[q_ids[:, None] == ids[None]] = np.inf
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if k <= len(x) else np.full(len(q), np.inf)
-        slack = 1e-9 * (squares.max() + (q * q).sum(1) + 1e-300)
+        slack = 1e-9 * (squares.max() + (small_q * small_q).sum(1) + 1e-300)
         for i in range(len(q)):
             near = np.flatnonzero((rough[i] <= kth[i] + slack[i]) & (q_ids[i] != ids))
-            score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+            score = distances(x[near], q[i])
             best = np.lexsort((ids[near], score))[:k]
             found.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near][best], "score": score[best]}))
     return pd.concat(found) if found else empty
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def _dealt(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """entries with a block: one of as many as ``blocks`` (path, blocks) gives their partition."""
+    return entries.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+
+
+def _descend(entries: DataFrame, models: DataFrame, choose) -> DataFrame:
+    """path, vec_id, v one level down: in the parts that choose(model row, vectors) names; without a model, in the only part."""
+
+    def run(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"path": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "v": pd.Series(dtype="object")})
+        parts = choose(model.iloc[0], _matrix(mine["v"])) if len(model) else [[0]] * len(mine)
+        times = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.repeat(np.arange(len(mine)), times)
+        return pd.DataFrame({"path": mine["path"].to_numpy()[at] * PARTITIONS + np.concatenate(parts).astype(np.int64), "vec_id": mine["vec_id"].to_numpy()[at], "v": mine["v"].to_numpy()[at]})
+
+    blocks = checkpointed(_blocks(entries))
+    shared = models.join(blocks, "path").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return _dealt(entries, blocks).groupBy("path", "block").cogroup(shared.groupBy("path", "block")).applyInPandas(run, "path bigint, vec_id bigint, v array<double>")
+
+
+def _fit(sample: int, goal: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        picked = rows.sort_values(["h", "vec_id"]).head(sample)
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "model": [pickle.dumps(Router(_matrix(picked["v"]), goal))]})
+
+    return run
+
+
+def build_index(rows: DataFrame, sample: int = SAMPLE, goal: float = GOAL, leaf: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(every row in its leaf: path, vec_id, v; the models of each level: path, model, sizes of the parts). rows: vec_id, v.
+
+    The levels are as many as equal parts would need; what is still over ``leaf`` rows then holds
+    vectors too alike to be divided. ``goal`` is met level by level, so that it holds for all together.
+    """
+    leaf, n = leaf or LEAF, rows.count()
+    levels = max(1, int(np.ceil(np.log(max(n / leaf, 1)) / np.log(PARTITIONS))))
+    placed, index = rows.select(F.lit(0).cast("bigint").alias("path"), "vec_id", "v"), []
+    for level in range(levels):
+        large = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (leaf if level else 0))
+        h = F.xxhash64("vec_id", F.lit(level))
+        share = F.col("n") <= sample if level else F.lit(False)
+        drawn = placed.join(large, "path").withColumn("h", h).filter(share | (F.pmod(h, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * (1.1 * sample + 100) / F.col("n")))  # some more than the fit takes
+        models = written(drawn.select("path", "vec_id", "v", "h").groupBy("path").applyInPandas(_fit(sample, goal ** (1 / levels)), "path bigint, model binary"))
+        if level and models.isEmpty():
+            break
+        placed = written(_descend(placed, models, lambda m, v: pickle.loads(m["model"]).order(v)[:, :1].tolist()))
+        part = F.struct(F.pmod("path", F.lit(PARTITIONS)).alias("part"), F.col("n"))
+        sizes = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).groupBy(F.floor(F.col("path") / PARTITIONS).alias("path")).agg(F.collect_list(part).alias("sizes"))
+        index.append(written(models.join(sizes, "path")))
+    return placed, index
+
+
+def route_queries(asked: DataFrame, index: list[DataFrame], k: int) -> DataFrame:
+    """path, vec_id, v: each query once a leaf that it visits. asked: vec_id, v."""
+
+    def choose(model, matrix: np.ndarray) -> list[list[int]]:
+        router, sizes = pickle.loads(model["model"]), np.zeros(PARTITIONS, dtype=np.int64)
+        for s in model["sizes"]:
+            sizes[s["part"]] = s["n"]
+        return router.routes(matrix, sizes[: router.parts], k)
+
+    routed = asked.select(F.lit(0).cast("bigint").alias("path"), "vec_id", "v")
+    for models in index:
+        routed = _descend(routed, models, choose)
+    return routed
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, goal: float = GOAL, leaf: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance in double precision).
 
     * vectors that are null, zero, or hold null or non-finite components take no part, as row
-      or as query; neither do rows whose id is null. All others need one length.
+      or as query; neither do rows whose id is null.
+    * vectors of several lengths: the length that most rows have (the smaller of two) is the
+      table's, and vectors of another length take no part.
+    * components whose squares overflow or vanish are scaled; a distance beyond double precision is infinite.
     * fewer than k other rows: all of them, wherever the classifier put them.
     * rows that repeat an id are candidates each, except for the query of that id.
     * no rows or no queries: no rows. Other columns of the inputs are not read.
@@ -150,40 +261,18 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
     v = F.col(vector).cast("array<double>")
     usable = lambda df: df.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("v", lambda c: c != 0))
     rows, asked = usable(vectors), usable(queries)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    if not picked:
+    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if length is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    router = Router(np.array([r["v"] for r in picked]))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                home = router.order(_matrix(b.column(1)))[:, 0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home)], names=["vec_id", "v", "part"])
-
-    placed = checkpointed(rows.mapInArrow(place, "vec_id bigint, v array<double>, part int"))
-    sizes = np.zeros(router.parts, dtype=np.int64)  # one number a partition
-    for r in placed.groupBy("part").count().collect():
-        sizes[r["part"]] = r["count"]
-    visits, blocks = router.visits, -(-sizes // BLOCK)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                order = router.order(_matrix(b.column(1)))
-                enough = np.argmax(np.cumsum(sizes[order], axis=1) > k, axis=1) + 1  # more only if these hold fewer than k others
-                enough[(np.cumsum(sizes[order], axis=1) <= k).all(axis=1)] = router.parts
-                to = [o[: max(visits, n)].tolist() for o, n in zip(order, enough)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(to, pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
-
-    n = asked.count()
-    shares = max(1, -(-n // BLOCK))  # queries of a partition are dealt out too; rows are then sent to each share
-    per_part = F.create_map(*[F.lit(int(x)) for pair in enumerate(blocks) for x in pair])
-    salt = F.pmod(F.xxhash64("vec_id"), per_part[F.col("part")]).cast("int").alias("block")
-    dealt = placed.select("part", "vec_id", "v", salt, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    routed = asked.mapInArrow(route, "vec_id bigint, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"))
-    routed = routed.filter(per_part[F.col("part")] > 0).withColumn("block", F.explode(F.sequence(F.lit(0), per_part[F.col("part")] - 1)))
-    key = ["part", "block", "share"]
-    near = dealt.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(lambda a, b: search_block(a, b, k), "query_id bigint, vec_id bigint, score double")
+    rows, asked = (df.filter(F.size("v") == length["n"]) for df in (rows, asked))
+    placed, index = build_index(rows, sample, goal, leaf)
+    routed = written(route_queries(asked, index, k))
+    blocks, shares = written(_blocks(placed)), written(_blocks(routed).select("path", F.col("blocks").alias("shares")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = _dealt(placed, blocks).join(shares, "path").withColumn("share", each("shares")).drop("shares")
+    theirs = routed.join(shares, "path").withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")).drop("shares")
+    theirs = theirs.join(blocks, "path").withColumn("block", each("blocks")).drop("blocks")
+    key = ["path", "block", "share"]
+    near = mine.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInPandas(lambda a, b: search_block(a, b, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -39,6 +39,59 @@ def test_recall(spark):
     assert hits / 600 >= 0.9
 
 
+def recall(found, x, ids, queries, k=10):
+    by: dict = {}
+    for r in found:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(by[q] & set(exact(x, ids, list(ids).index(q), k).tolist())) for q in queries) / (k * len(queries))
+
+
+def test_recall_of_the_registered_query(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").dropna().collect()
+    rows = [r for r in rows if np.any(r.embedding) and np.isfinite(np.array(r.embedding, dtype=float)).all()]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    assert recall(QUERIES["op3_nearest_neighbours"](spark, sf_dir).collect(), x, ids, ids[ids % 100 == 0].tolist()) >= 0.9
+
+
+def test_vectors_in_clusters_visit_few_leaves(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 24)) * 4
+    x = centres[rng.integers(0, 60, 9000)] + rng.standard_normal((9000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = df.select("vec_id", F.col("embedding").alias("v"))
+    placed, index = ann.build_index(rows, leaf=1000)
+    sizes = {r["path"]: r["count"] for r in placed.groupBy("path").count().collect()}
+    assert len(index) == 1 and sum(sizes.values()) == 9000 and len(sizes) > 20
+    scanned = sum(sizes.get(r.path, 0) for r in ann.route_queries(rows.filter("vec_id % 100 = 0"), index, 10).collect()) / 90 / 9000
+    assert scanned < 0.3
+    got = ann.nearest_neighbours(df, df.filter("vec_id % 100 = 0"), leaf=1000).collect()
+    assert recall(got, x, np.arange(9000), range(0, 9000, 100)) >= 0.9
+
+
+def test_partitions_are_divided_again(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((100, 12)) * 5
+    x = centres[rng.integers(0, 100, 8000)] + rng.standard_normal((8000, 12))
+    x[:2500] = x[0]  # over a leaf, and not to be divided
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    placed, index = ann.build_index(df.select("vec_id", F.col("embedding").alias("v")), leaf=200)
+    assert len(index) == 2 and placed.count() == 8000 and placed.select("path").distinct().count() > 32
+    got = ann.nearest_neighbours(df, df.filter("vec_id % 100 = 0"), leaf=200).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(by[0]) == [(i, i) for i in range(1, 11)]
+    assert recall(got, x, np.arange(8000), range(2500, 8000, 100)) >= 0.9
+
+
+def test_vectors_of_other_lengths_and_huge_ones(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [1.0]), (3, [1.0, 2.0, 3.0]), (100, [3e200, 4e200]), (4, [1e-200, 0.0]), (200, [2e-200, 0.0])]
+    df = spark.createDataFrame(rows, VECTORS.replace("float", "double").replace(", rank string", ""))
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest_neighbours(df, df.filter("vec_id % 100 = 0")).collect()}
+    assert {b for _, b in got} == {0, 1, 4, 100, 200} and len(got) == 12
+    assert got[0, 1] == 0.5 and all(math.isclose(got[pair], d, rel_tol=1e-14) for pair, d in (((100, 0), 5e200), ((0, 100), 5e200), ((200, 4), 1e-200)))
+
+
 def test_search_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (2, [1.0, 0.0])]
@@ -123,7 +176,7 @@ def test_more_labels_than_the_classifier_learns(spark):
 
 
 def test_identified_rows_come_back_as_they_are(spark):
-    rows = [(i, w * 30, lang, "keepme", "mine", "row") for i, (w, lang) in enumerate([("the and ", "en"), ("der und ", "de")] * 20)]
+    rows = [(i, w * 1500, lang, "keepme", "mine", "row") for i, (w, lang) in enumerate([("the and ", "en"), ("der und ", "de")] * 20)]
     rows += [(None, "the and the", "en", "keepme", "mine", "row"), (50, "1 2", "en", "keepme", "mine", "row"), (51, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string, row string")
     got = language_id.keep_identified(df)
