@@ -18,8 +18,17 @@ def authorize(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """
     prefixes = F.transform(F.sequence(F.lit(0), F.length("resource")), lambda n: F.struct(F.lit("prefix").alias("pattern"), F.substring(F.col("resource"), F.lit(1), n).alias("text")))
     literal = F.array(F.struct(F.lit("literal").alias("pattern"), F.col("resource").alias("text")), F.struct(F.lit("literal").alias("pattern"), F.lit("*").alias("text")))
-    asked = requests.withColumn("p", F.explode(F.concat(literal, prefixes))).select("request", F.col("principal").alias("who"), "resource_type", F.col("operation").alias("wanted"), "p.pattern", F.col("p.text").alias("resource"))
-    hit = asked.join(rules, ["resource_type", "pattern", "resource"]).filter(F.col("principal").isin("*") | (F.col("principal") == F.col("who"))).filter((F.col("operation") == "all") | (F.col("operation") == F.col("wanted")))
+    request = requests.select("request", F.col("principal").alias("who"), "resource_type", F.col("resource"), F.col("operation").alias("wanted"))
+    wanted = (F.col("operation") == "all") | (F.col("operation") == F.col("wanted"))
+    # rules for everyone and everything would put all requests on one key; distinct, they are as few as the types and operations
+    rules = rules.select("principal", "resource_type", "resource", "pattern", "operation", "effect").distinct()
+    everything = (F.col("principal") == "*") & (((F.col("pattern") == "literal") & (F.col("resource") == "*")) | ((F.col("pattern") == "prefix") & (F.col("resource") == "")))
+    widest = rules.filter(everything).select("resource_type", "operation", "effect").distinct().groupBy("resource_type").agg(F.collect_list(F.struct("operation", "effect")).alias("widest"))
+    asked = request.withColumn("p", F.explode(F.concat(literal, prefixes))).withColumn("principal", F.explode(F.array(F.col("who"), F.lit("*"))))
+    asked = asked.select("request", "principal", "resource_type", "wanted", "p.pattern", F.col("p.text").alias("resource"))
+    hit = asked.join(rules.filter(~everything), ["principal", "resource_type", "pattern", "resource"]).filter(wanted).select("request", "effect")
+    wide = request.join(widest, "resource_type").select("request", "wanted", F.explode("widest").alias("w")).select("request", "wanted", "w.*").filter(wanted).select("request", "effect")
+    hit = hit.union(wide)
     verdict = hit.groupBy("request").agg(F.some(F.col("effect") == "deny").alias("denied"), F.some(F.col("effect") == "allow").alias("granted"))
     return requests.join(verdict, "request", "left").select("request", (F.coalesce("granted", F.lit(False)) & ~F.coalesce("denied", F.lit(False))).alias("allowed"))
 

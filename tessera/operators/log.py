@@ -63,24 +63,30 @@ def log_start_after(candidates: DataFrame) -> DataFrame:
 
 
 def compact(records: DataFrame, now: int, grace: int, sealed_below: DataFrame) -> DataFrame:
-    """part, batch, base_offset of the batches that compaction keeps, with the reason's flags.
-
-    records: part, batch, segment, offset, key, value (null: tombstone), ts, control. A sealed
-    batch stays if it has a control record or a null key, a tombstone younger than grace, or a
-    record whose key's last batch it is, or if it is its segment's first or last batch.
-    Batches that are not sealed (sealed_below: part, end_segment) always stay.
+    """part, segment, batch, base_offset, the reasons' flags and kept: what compaction leaves of a log.
+
+    records: part, batch, segment, offset, key, value (null: tombstone), ts, control, producer
+    (below 0: none), faulty (its batch can't be decoded, so its keys don't count). A sealed batch
+    stays if it is opaque: faulty, or with a control record, a record of a producer or a null key;
+    if a tombstone in it is younger than grace; if it is the last batch of a key, whatever record
+    holds the key; or if it is its segment's first or last batch. Batches that are not sealed
+    (sealed_below: part, end_segment) always stay.
     """
-    plain = records.filter("key is not null and not control")
-    latest = plain.groupBy("part", "key").agg(F.max("batch").alias("latest"))
-    alive = plain.join(latest, ["part", "key"]).filter("batch = latest").select("part", "batch").distinct().withColumn("is_latest", F.lit(True))
+    keyed = records.filter("key is not null and not faulty")
+    latest = keyed.groupBy("part", "key").agg(F.max("batch").alias("batch"))
+    alive = latest.select("part", "batch").distinct().withColumn("is_latest", F.lit(True))
+    decoded = ~F.col("faulty")
     per_batch = records.groupBy("part", "segment", "batch").agg(
         F.min("offset").alias("base_offset"),
-        F.some(F.col("control") | F.col("key").isNull()).alias("opaque"),
-        F.some(F.col("value").isNull() & (F.greatest(F.lit(now) - F.col("ts"), F.lit(0)) < grace)).alias("young_tombstone"),
+        F.some("faulty").alias("undecodable"),
+        F.some(decoded & F.col("key").isNull()).alias("null_key"),
+        F.some(F.col("faulty") | F.col("control") | (F.col("producer") >= 0) | F.col("key").isNull()).alias("opaque"),
+        F.some(decoded & F.col("key").isNotNull() & F.col("value").isNull() & (F.greatest(F.lit(now) - F.col("ts"), F.lit(0)) < grace)).alias("young_tombstone"),
     )
     rims = records.groupBy("part", "segment").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi"))
     out = per_batch.join(alive, ["part", "batch"], "left").join(rims, ["part", "segment"]).join(sealed_below, "part")
-    flags = out.select("part", "segment", "batch", "base_offset", "opaque", "young_tombstone", F.coalesce("is_latest", F.lit(False)).alias("is_latest"), ((F.col("batch") == F.col("lo")) | (F.col("batch") == F.col("hi"))).alias("rim"), (F.col("segment") < F.col("end_segment")).alias("sealed"))
+    reasons = ["undecodable", "null_key", "opaque", "young_tombstone"]
+    flags = out.select("part", "segment", "batch", "base_offset", *reasons, F.coalesce("is_latest", F.lit(False)).alias("is_latest"), ((F.col("batch") == F.col("lo")) | (F.col("batch") == F.col("hi"))).alias("rim"), (F.col("segment") < F.col("end_segment")).alias("sealed"))
     return flags.withColumn("kept", ~F.col("sealed") | F.col("opaque") | F.col("young_tombstone") | F.col("is_latest") | F.col("rim"))
 
 

@@ -1,14 +1,17 @@
 """Stateful folds of the log: idempotent producers, transactions, consumer groups.
 
-Each is a state and a pure step. The batch operators fold a sorted table; the streaming ones
-(``tessera.streaming``) fold micro-batches with the same steps.
+Appends and groups are a state and a pure step: the batch operators fold a sorted table, the
+streaming ones (``tessera.streaming``) micro-batches with the same steps. Transactions need no
+replay; they are windows and aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.fold import ordered_fold
+from ..functions.prefix import running_total
 
 
 class Producer:
@@ -37,46 +40,34 @@ def decide_appends(batches: DataFrame) -> DataFrame:
     return ordered_fold(batches, ["producer", "part"], ["seq"], Producer, step, "producer bigint, part bigint, seq bigint, decision string")
 
 
-class Transaction:
-    def __init__(self) -> None:
-        self.epoch, self.status, self.first, self.deadline = 0, "empty", {}, 0
-
-
-def transaction_step(s: Transaction, op: str, part: int, offset: int, at: int, timeout: int) -> tuple[str, list[int]]:
-    """(status after, parts whose range was aborted). ops: begin, append, commit, abort, expire.
-
-    A commit or abort may repeat; the other of the two after an end is an error, which leaves
-    the state. A transaction beyond its deadline is aborted and its producer fenced.
-    """
-    if op == "expire":
-        if s.status == "ongoing" and s.deadline <= at:
-            gone = sorted(s.first)
-            s.status, s.first, s.epoch = "aborted", {}, s.epoch + 1
-            return "aborted", gone
-    elif op == "begin":
-        s.status, s.first, s.deadline = "ongoing", {}, at + timeout
-    elif op == "append" and s.status == "ongoing":
-        s.first.setdefault(part, offset)
-        s.deadline = at + timeout
-    elif op in ("commit", "abort"):
-        end = "committed" if op == "commit" else "aborted"
-        if s.status == "ongoing":
-            gone = sorted(s.first) if op == "abort" else []
-            s.status, s.first = end, {}
-            return end, gone
-        if s.status != end:
-            return "error", []
-    return s.status, []
-
-
 def fold_transactions(commands: DataFrame, timeout: int) -> DataFrame:
-    """producer, seq, status, aborted (parts). commands: producer, seq, op, part, offset, at."""
+    """producer, seq, status, aborted (parts). commands: producer, seq, op, part, offset, at.
 
-    def step(s: Transaction, r) -> dict:
-        status, gone = transaction_step(s, r.op, int(r.part), int(r.offset), int(r.at), timeout)
-        return {"seq": r.seq, "status": status, "aborted": gone}
+    ops: begin, append, commit, abort, expire. A begin opens a transaction and drops an open one.
+    The open one ends at its first commit or abort, or at an expire beyond its deadline, which is
+    ``timeout`` after its last begin or append. After the end the same command may repeat; the
+    other of the two is an error. aborted names the parts an abort or expiry gives up.
 
-    return ordered_fold(commands, ["producer"], ["seq"], Transaction, step, "producer bigint, seq bigint, status string, aborted array<bigint>")
+    So nothing is replayed: begins number the transactions of a producer by prefix sums, and a
+    transaction's end is a minimum over its own commands.
+    """
+    op = F.col("op")
+    of = ["producer", "transaction"]
+    rows = running_total(commands, ["producer"], ["seq"], (op == "begin").cast("int"), "transaction")
+    before = Window.partitionBy(*of).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("touched", F.last(F.when(op.isin("begin", "append"), F.col("at")), ignorenulls=True).over(before))
+    closes = (F.col("transaction") > 0) & (op.isin("commit", "abort") | ((op == "expire") & (F.col("touched") + timeout <= F.col("at"))))
+    ends = rows.filter(closes).groupBy(*of).agg(F.min(F.struct("seq", "op")).alias("end"))
+    ends = ends.select(*of, F.col("end.seq").alias("end_seq"), F.when(F.col("end.op") == "commit", "committed").otherwise("aborted").alias("end_status"))
+    rows = rows.join(ends, of, "left")
+    open_ = F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))
+    parts = rows.filter(open_ & (op == "append") & (F.col("end_status") == "aborted")).groupBy(*of).agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    rows = rows.join(parts, of, "left")
+    asked = F.when(op == "commit", "committed").when(op == "abort", "aborted")
+    later = F.when(asked.isNotNull() & (asked != F.col("end_status")), "error").otherwise(F.col("end_status"))
+    status = F.when(F.col("transaction") == 0, F.when(asked.isNotNull(), "error").otherwise("empty")).when(open_, "ongoing").when(F.col("seq") == F.col("end_seq"), F.col("end_status")).otherwise(later)
+    aborted = F.when(F.col("seq") == F.col("end_seq"), F.col("parts"))
+    return rows.select("producer", "seq", status.alias("status"), F.coalesce(aborted, F.array().cast("array<bigint>")).alias("aborted"))
 
 
 class Group:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.lineage import new_path
 from ..operators import catalogue, kv, log, objects, versions
-from ..sources.tables import BATCHES_SQL, CHANGES_SQL, RECORDS_SQL, changes, log_batches, log_records, seconds, table
+from ..sources.tables import BATCHES_SQL, CHANGES_SQL, RECORDS_SQL, REVISION_AT, changes, log_batches, log_records, revision_at, seconds, table
 from .keyed import _live
 from .registry import query
 
@@ -59,10 +59,10 @@ def active_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PINS}, a AS (SELECT * FROM pins WHERE status = 'active' AND (expires_at IS NULL OR expires_at > {_NOW}))
-SELECT root FROM a WHERE id % 5 = 0 UNION SELECT root FROM a WHERE id % 5 = 1 UNION SELECT root FROM pins WHERE kind = 'protect' AND id % 50 = 2""")
+SELECT root FROM a WHERE id % 3 < 2 UNION SELECT root FROM pins WHERE kind = 'protect' AND id % 3 = 2""")
 def protected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pins(spark, sf_dir)
-    return catalogue.roots(p.filter("id % 5 = 0"), p.filter("id % 5 = 1"), p.filter("id % 50 = 2").withColumn("status", F.lit("pending")), _NOW)
+    return catalogue.roots(p.filter("id % 3 = 0"), p.filter("id % 3 = 1"), p.filter("id % 3 = 2").withColumn("status", F.lit("pending")), _NOW)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l WHERE (l_orderkey, l_linenumber, l_partkey) > (1200, 3, 50) ORDER BY ALL LIMIT 60")
@@ -103,14 +103,15 @@ def page_table_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.truncate(pages, F.col("db") % 4 + 1)
 
 
-@query(f"""WITH {CHANGES_SQL}, h AS (SELECT key, arg_max(cid, revision) AS version, arg_max(op, revision) = 'delete' AS tombstone FROM changes WHERE revision <= 500 GROUP BY key),
-p AS (SELECT key, arg_min(cid, revision) AS version, arg_min(revision, revision) % 2 = 0 AS if_none, arg_min(op, revision) = 'delete' AS tombstone FROM changes WHERE revision > 500 GROUP BY key)
+@query(f"""WITH {CHANGES_SQL}, h AS (SELECT key, arg_max(cid, revision) AS version, arg_max(op, revision) = 'delete' AS tombstone FROM changes WHERE revision <= {REVISION_AT(4)} GROUP BY key),
+p AS (SELECT key, arg_min(cid, revision) AS version, arg_min(revision, revision) % 2 = 0 AS if_none, arg_min(op, revision) = 'delete' AS tombstone FROM changes WHERE revision > {REVISION_AT(4)} GROUP BY key)
 SELECT p.key, p.version, h.version AS previous, p.tombstone, NOT (if_none AND h.version IS NOT NULL AND NOT h.tombstone) AND NOT (p.tombstone AND NOT coalesce(h.version IS NOT NULL AND NOT h.tombstone, false)) AS accepted
 FROM p LEFT JOIN h ON h.key = p.key""")
 def bucket_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changes(spark, sf_dir)
-    head = rows.filter("revision <= 500").groupBy("key").agg(F.max_by("cid", "revision").alias("version"), (F.max_by("op", "revision") == "delete").alias("tombstone"))
-    puts = rows.filter("revision > 500").groupBy("key").agg(F.min_by("cid", "revision").alias("version"), (F.min("revision") % 2 == 0).alias("if_none"), (F.min_by("op", "revision") == "delete").alias("tombstone"))
+    half = revision_at(rows, 4)
+    head = rows.filter(F.col("revision") <= half).groupBy("key").agg(F.max_by("cid", "revision").alias("version"), (F.max_by("op", "revision") == "delete").alias("tombstone"))
+    puts = rows.filter(F.col("revision") > half).groupBy("key").agg(F.min_by("cid", "revision").alias("version"), (F.min("revision") % 2 == 0).alias("if_none"), (F.min_by("op", "revision") == "delete").alias("tombstone"))
     return catalogue.put_versions(head, puts)
 
 
@@ -145,9 +146,11 @@ def segment_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_records(spark, sf_dir).groupBy("part", F.floor(F.col("offset") / 256).alias("segment")).agg(F.md5(joined).alias("image_md5"), F.count(F.lit(1)).alias("records"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT part, max(\"offset\") AS last_kept, count(*) AS kept FROM records WHERE \"offset\" < 500 + part * 100 GROUP BY part")
+@query(f"WITH {RECORDS_SQL} SELECT part, max(\"offset\") AS last_kept, count(*) AS kept FROM records JOIN (SELECT part AS p, (max(\"offset\") + 1) * 2 // 3 AS committed FROM records GROUP BY part) c ON p = part WHERE \"offset\" < committed GROUP BY part")
 def log_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = log_records(spark, sf_dir).filter(F.col("offset") < F.col("part") * 100 + 500)
+    records = log_records(spark, sf_dir)
+    committed = records.groupBy("part").agg(F.floor((F.max("offset") + 1) * 2 / 3).alias("committed"))
+    kept = records.join(committed, "part").filter(F.col("offset") < F.col("committed"))
     return kept.groupBy("part").agg(F.max("offset").alias("last_kept"), F.count(F.lit(1)).alias("kept"))
 
 
@@ -158,14 +161,17 @@ def op_cost_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.select("namespace", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "error", "view")])
 
 
-_URIS = ["tessera:db", "tessera:db?mode=ro&snapshot=7", "tessera:db?mode=rw&mode=ro", "tessera:x?busy_timeout_ms=50", "tessera:db?color=red", "file:db", "tessera:"]
-
-
-@query("""SELECT * FROM (VALUES ('tessera:db', 'db', NULL, NULL, NULL), ('tessera:db?mode=ro&snapshot=7', 'db', 'ro', '7', NULL), ('tessera:db?mode=rw&mode=ro', NULL, NULL, NULL, NULL),
- ('tessera:x?busy_timeout_ms=50', 'x', NULL, NULL, '50'), ('tessera:db?color=red', NULL, NULL, NULL, NULL), ('file:db', NULL, NULL, NULL, NULL), ('tessera:', NULL, NULL, NULL, NULL)) v(uri, database, mode, snapshot, busy_timeout_ms)""")
+@query("""WITH u AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN '' WHEN 1 THEN '?mode=ro&snapshot=' || page_id WHEN 2 THEN '?mode=rw&mode=ro' WHEN 3 THEN '?busy_timeout_ms=' || page_id WHEN 4 THEN '?color=red'
+    WHEN 5 THEN '?mode=rw&busy_timeout_ms=9&snapshot=s' || page_id WHEN 6 THEN '?snapshot=' ELSE '?' END AS q, page_id % 11 = 5 AS other, page_id % 13 = 7 AS bare, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages)
+SELECT page_id, CASE WHEN sound THEN host END AS database, CASE WHEN sound AND k = 1 THEN 'ro' WHEN sound AND k = 5 THEN 'rw' END AS mode,
+  CASE WHEN sound AND k = 1 THEN CAST(page_id AS VARCHAR) WHEN sound AND k = 5 THEN 's' || page_id END AS snapshot, CASE WHEN sound AND k = 3 THEN CAST(page_id AS VARCHAR) WHEN sound AND k = 5 THEN '9' END AS busy_timeout_ms
+FROM (SELECT *, page_id % 8 AS k, page_id % 8 NOT IN (2, 4) AND NOT other AND NOT bare AND host <> '' AS sound FROM u) v""")
 def uri_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = spark.createDataFrame([(u,) for u in _URIS], "uri string").withColumn("p", catalogue.parse_uri(F.col("uri")))
-    return parsed.select("uri", "p.*")
+    i, own = F.col("page_id"), F.col("page_id").cast("string")
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    forms = [F.lit(""), F.concat(F.lit("?mode=ro&snapshot="), own), F.lit("?mode=rw&mode=ro"), F.concat(F.lit("?busy_timeout_ms="), own), F.lit("?color=red"), F.concat(F.lit("?mode=rw&busy_timeout_ms=9&snapshot=s"), own), F.lit("?snapshot="), F.lit("?")]
+    uri = F.concat(F.when(i % 11 == 5, "file:").otherwise("tessera:"), F.when(i % 13 == 7, "").otherwise(host), F.element_at(F.array(*forms), (i % 8 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", catalogue.parse_uri(uri).alias("p")).select("page_id", "p.*")
 
 
 @query("SELECT source AS location, count(*) AS inputs, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY source")
@@ -191,10 +197,10 @@ def audit_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.newest_records(rows, 12).select("namespace", "revision", "value_kind")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey < 5 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def empty_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").filter("c_nationkey < 5").select("c_custkey").join(open_, "c_custkey", "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(open_, "c_custkey", "left_anti")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND substr(sha256(text), 1, 1) >= '8' THEN 412 WHEN doc_id % 3 = 1 AND substr(sha256(text), 1, 1) < '8' THEN 304 ELSE 200 END AS status FROM documents""")
@@ -211,10 +217,10 @@ def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter("status in ('queued', 'delegated')").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("queued"))
 
 
-@query("SELECT doc_id, md5(substr(text, CAST(doc_id % 50 AS INTEGER) + 1, 40)) AS slice_md5 FROM documents WHERE doc_id % 4 = 2")
+@query("SELECT doc_id, md5(substr(text, CAST(doc_id * 37 % (length(text) + 1) AS INTEGER) + 1, 40)) AS slice_md5 FROM documents")
 def vectored_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    asked = d.filter("doc_id % 4 = 2").select(F.col("doc_id").alias("output_index"), F.col("doc_id").alias("pack"), (F.col("doc_id") % 50).cast("int").alias("offset"), F.lit(40).alias("length"), F.lit("").alias("digest"))
+    asked = d.select(F.col("doc_id").alias("output_index"), F.col("doc_id").alias("pack"), (F.col("doc_id") * 37 % (F.length("text") + 1)).cast("int").alias("offset"), F.lit(40).alias("length"), F.lit("").alias("digest"))
     cut = objects.read_slices(asked, d.select(F.col("doc_id").alias("pack"), F.col("text").alias("content")))
     return cut.select(F.col("output_index").alias("doc_id"), F.md5("payload").alias("slice_md5"))
 

@@ -152,14 +152,14 @@ def multipart_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, text, doc_id // 8 AS pack, length(text) AS length, coalesce(sum(length(text)) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM documents)
-SELECT doc_id AS output_index, md5(text) AS payload_md5, true AS intact FROM d WHERE doc_id % 3 = 1""")
+SELECT doc_id AS output_index, md5(text) AS payload_md5, true AS intact FROM d""")
 def pack_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 8).alias("pack"))
     joined = d.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("m"))
     packs = joined.select("pack", F.array_join(F.transform("m", lambda x: x["text"]), "").alias("content"))
     start = F.aggregate(F.slice("m", 1, F.col("i")), F.lit(0), lambda acc, x: acc + F.length(x["text"]))
     slices = joined.select("pack", "m", F.posexplode("m").alias("i", "e")).select(F.col("e.doc_id").alias("output_index"), "pack", start.alias("offset"), F.length("e.text").alias("length"), F.sha2("e.text", 256).alias("digest"))
-    return objects.read_slices(slices.filter("output_index % 3 = 1"), packs).select("output_index", F.md5("payload").alias("payload_md5"), "intact")
+    return objects.read_slices(slices, packs).select("output_index", F.md5("payload").alias("payload_md5"), "intact")
 
 
 @query("""SELECT CAST(l_suppkey AS BIGINT) AS extent, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS live_bytes, CAST(sum(l_quantity) AS BIGINT) AS total_bytes,
@@ -229,23 +229,23 @@ def tree_refused_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.refused_deletes(t, deletes)
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(left(html, 120), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
   strftime(make_timestamp(page_id * 86461 * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(make_timestamp(page_id * 86461 * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS http_date,
   regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$') AND NOT contains(split_part(split_part(url, '://', 2), '/', 1), '..')
     AND NOT regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$') AS valid_name FROM pages""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, host = F.col("page_id") * 86461, F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.substring("html", 1, 120)).alias("escaped"), text.iso_timestamp(s).alias("iso"), text.http_timestamp(s).alias("http_date"), text.valid_bucket_name(host).alias("valid_name"))
+    return table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.col("html")).alias("escaped"), text.iso_timestamp(s).alias("iso"), text.http_timestamp(s).alias("http_date"), text.valid_bucket_name(host).alias("valid_name"))
 
 
 _HEADERS = ["bytes=0-9", "bytes=5-", "bytes=-7", "bytes=2000-3000", "bytes=9-3", "bytes=0-1,3-4", "bytes=-0", "x"]
 
 
-@query(f"""WITH h(header) AS (VALUES {', '.join(f"('{h}')" for h in _HEADERS)}), d AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id < 200),
+@query(f"""WITH h(header) AS (VALUES {', '.join(f"('{h}')" for h in _HEADERS)}), d AS (SELECT doc_id, length(text) AS n FROM documents),
 p AS (SELECT *, TRY_CAST(nullif(regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 1), '') AS BIGINT) AS a, TRY_CAST(nullif(regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 2), '') AS BIGINT) AS b FROM h, d),
 r AS (SELECT *, coalesce(a, greatest(n - b, 0)) AS f, CASE WHEN a IS NULL OR b IS NULL THEN n - 1 ELSE least(b, n - 1) END AS l FROM p)
 SELECT doc_id, header, CASE WHEN (a IS NOT NULL OR b > 0) AND n > 0 AND f <= l AND f < n THEN f END AS first, CASE WHEN (a IS NOT NULL OR b > 0) AND n > 0 AND f <= l AND f < n THEN l END AS last FROM r""")
 def range_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", F.length("text").alias("n"), F.explode(F.array(*map(F.lit, _HEADERS))).alias("header"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.array(*map(F.lit, _HEADERS))).alias("header"))
     r = text.byte_range(F.col("header"), F.col("n"))
     return d.select("doc_id", "header", r["first"].alias("first"), r["last"].alias("last"))

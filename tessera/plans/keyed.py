@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import kv, versions
-from ..sources.tables import CHANGES_SQL, changes
+from ..sources.tables import CHANGES_SQL, REVISION_AT, changes, revision_at
 from .registry import query
 
 
@@ -26,9 +26,10 @@ def kv_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.snapshot(changes(spark, sf_dir))
 
 
-@query(f"WITH {CHANGES_SQL}, {_live('400')} SELECT * FROM live")
+@query(f"WITH {CHANGES_SQL}, {_live(REVISION_AT(4))} SELECT * FROM live")
 def kv_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.snapshot(changes(spark, sf_dir), 400)
+    rows = changes(spark, sf_dir)
+    return kv.snapshot(rows, revision_at(rows, 4))
 
 
 @query(f"WITH {CHANGES_SQL}, {_live()} SELECT * FROM live WHERE key = '0000000007'")
@@ -53,11 +54,12 @@ def kv_scan_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.scan(kv.snapshot(changes(spark, sf_dir)), start="0000000003", end="0000000090", prefix="00000000", after="0000000004", limit=20)
 
 
-@query(f"""WITH {CHANGES_SQL}, {_live('600')},
+@query(f"""WITH {CHANGES_SQL}, {_live(REVISION_AT(5))},
 m AS (SELECT * FROM live WHERE key LIKE '000000001%' ORDER BY key LIMIT 6)
 SELECT *, (SELECT count(*) FROM m) > 5 AS has_more FROM (SELECT * FROM m ORDER BY key LIMIT 5) p""")
 def kv_scan_at_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.scan(kv.snapshot(changes(spark, sf_dir), 600), prefix="000000001", limit=5)
+    rows = changes(spark, sf_dir)
+    return kv.scan(kv.snapshot(rows, revision_at(rows, 5)), prefix="000000001", limit=5)
 
 
 @query(f"""WITH {CHANGES_SQL}, {_live()},
@@ -81,29 +83,29 @@ _DIFF = """SELECT coalesce(a.key, b.key) AS key,
   CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'modified' END AS change"""
 
 
-@query(f"""WITH {CHANGES_SQL}, {_live('300', 'a')}, {_live('800', 'b')}
+@query(f"""WITH {CHANGES_SQL}, {_live(REVISION_AT(3), 'a')}, {_live(REVISION_AT(7), 'b')}
 {_DIFF} FROM a FULL JOIN b ON a.key = b.key
 WHERE a.key IS NULL OR b.key IS NULL OR a.cid <> b.cid OR a.value_kind <> b.value_kind OR a.generation <> b.generation
 ORDER BY 1 LIMIT 10000""")
 def ns_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changes(spark, sf_dir)
-    return versions.diff(kv.snapshot(rows, 300), kv.snapshot(rows, 800))
+    return versions.diff(kv.snapshot(rows, revision_at(rows, 3)), kv.snapshot(rows, revision_at(rows, 7)))
 
 
-@query(f"""WITH {CHANGES_SQL}, {_live('', 'a')}, {_live('500', 'b')}
+@query(f"""WITH {CHANGES_SQL}, {_live('', 'a')}, {_live(REVISION_AT(4), 'b')}
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'delete' ELSE 'put' END AS op, b.cid, b.value_kind,
        CASE WHEN b.key IS NOT NULL THEN coalesce(a.generation, 0) + 1 END AS generation
 FROM a FULL JOIN b ON a.key = b.key
 WHERE a.key IS NULL OR b.key IS NULL OR a.cid <> b.cid OR a.value_kind <> b.value_kind""")
 def rollback_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changes(spark, sf_dir)
-    return versions.rollback(kv.snapshot(rows), kv.snapshot(rows, 500))
+    return versions.rollback(kv.snapshot(rows), kv.snapshot(rows, revision_at(rows, 4)))
 
 
-@query(f"""WITH {CHANGES_SQL}, {_live('700', 'head')},
+@query(f"""WITH {CHANGES_SQL}, {_live(REVISION_AT(6), 'head')},
 mut AS (SELECT revision // 3 AS txn, key, CASE revision % 4 WHEN 0 THEN 'assert' WHEN 1 THEN 'delete' ELSE 'put' END AS op, cid,
                CASE revision % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'any' ELSE 'absent' END AS pre,
-               revision % 5 + 1 AS pre_generation, cid AS pre_cid FROM changes WHERE revision > 700),
+               revision % 5 + 1 AS pre_generation, cid AS pre_cid FROM changes WHERE revision > {REVISION_AT(6)}),
 c AS (SELECT mut.*, head.generation AS cur_generation,
              CASE pre WHEN 'absent' THEN head.generation IS NULL
                       WHEN 'match' THEN head.generation IS NOT DISTINCT FROM pre_generation AND head.cid IS NOT DISTINCT FROM pre_cid
@@ -114,11 +116,11 @@ SELECT c.*, applied, CASE WHEN applied AND op = 'put' THEN coalesce(cur_generati
 FROM c JOIN v USING (txn)""")
 def txn_preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changes(spark, sf_dir)
-    r = F.col("revision")
-    mutations = rows.filter("revision > 700").select(
+    r, at = F.col("revision"), revision_at(rows, 6)
+    mutations = rows.filter(r > at).select(
         F.floor(r / 3).alias("txn"), "key", F.when(r % 4 == 0, "assert").when(r % 4 == 1, "delete").otherwise("put").alias("op"), "cid",
         F.when(r % 3 == 0, "match").when(r % 3 == 1, "any").otherwise("absent").alias("pre"), (r % 5 + 1).alias("pre_generation"), F.col("cid").alias("pre_cid"))
-    return versions.apply_transactions(kv.snapshot(rows, 700), mutations)
+    return versions.apply_transactions(kv.snapshot(rows, at), mutations)
 
 
 _COMMITS = "commits AS (SELECT namespace, revision, committed_at - revision % 7 * 3600 AS client_ts FROM changes)"
@@ -169,13 +171,13 @@ def idempotency_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH wanted AS (SELECT 'snap' || CAST(c_custkey % 40 AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) AS name,
-   CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 9 END AS revision FROM customer WHERE c_custkey < 150),
+   CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 9 END AS revision FROM customer),
 taken AS (SELECT DISTINCT name FROM wanted WHERE revision % 5 = 0)
 SELECT w.name, coalesce(revision, 1000) AS revision, t.name IS NULL AND coalesce(revision, 1000) <= 1000 AS accepted
 FROM wanted w LEFT JOIN taken t ON t.name = w.name""")
 def snapshot_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").filter(k < 150).select(F.concat(F.lit("snap"), (k % 40).cast("string"), F.lit("-"), k.cast("string")).alias("name"), F.when(k % 3 > 0, k * 9).alias("revision"))
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("snap"), (k % 40).cast("string"), F.lit("-"), k.cast("string")).alias("name"), F.when(k % 3 > 0, k * 9).alias("revision"))
     return versions.create_named(wanted.filter("revision % 5 = 0"), wanted, 1000)
 
 

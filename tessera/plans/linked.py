@@ -43,9 +43,9 @@ def gc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_REACH}, {_WALK}, {_NODES} SELECT b.node, r.root, CASE WHEN level = 0 THEN 'root' WHEN level > 0 THEN 'descendant' END AS relation
-FROM blocks b LEFT JOIN (SELECT root, node, min(level) AS level FROM reach GROUP BY 1, 2) r ON r.node = b.node WHERE b.node LIKE 'c%'  OR b.node LIKE 'n%'""")
+FROM blocks b LEFT JOIN (SELECT root, node, min(level) AS level FROM reach GROUP BY 1, 2) r ON r.node = b.node""")
 def gc_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.explain(_reached(spark, sf_dir), _blocks(spark, sf_dir).filter("node like 'c%' or node like 'n%'").select("node"))
+    return graphs.explain(_reached(spark, sf_dir), _blocks(spark, sf_dir).select("node"))
 
 
 @query(f"WITH RECURSIVE {_REACH}, {_WALK}, {_NODES} SELECT root, count(*) AS nodes, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT DISTINCT root, node FROM reach) r JOIN blocks USING (node) GROUP BY root")
@@ -70,25 +70,6 @@ def merkle_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.new_frontier(d.filter("doc_id % 10 < 4"), d.filter("doc_id % 10 >= 4"))
 
 
-_NODE_LIST = "nodes AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS node FROM supplier)"
-
-
-@query(f"""WITH {_NODE_LIST}, keys AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS key FROM part),
-s AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY md5(key || ':' || node) DESC, node) AS rank FROM keys, nodes)
-SELECT key, rank, node FROM s WHERE rank <= 3""")
-def placement_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"))
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return placement.rendezvous(keys, nodes, 3).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-@query()
-def placement_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"))
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_suppkey") % 3 + 1).alias("weight"), F.col("s_nationkey").cast("string").alias("domain"), F.when(F.col("s_suppkey") % 9 == 4, "out").otherwise("in").alias("state"))
-    return placement.diverse(keys, nodes, 3)
-
-
 @query("""SELECT l_orderkey AS job, l_suppkey AS node, CAST(l_quantity AS BIGINT) AS local_bytes, l_linenumber AS queue_delay, l_partkey % 5 AS parallelism,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS BIGINT) DESC, l_linenumber, l_partkey % 5 DESC, l_suppkey) AS rank FROM lineitem""")
 def offer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +128,20 @@ def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.decide_appends(_appends(spark, sf_dir))
 
 
-@query()
+_STATE = "(SELECT user_id % 8 AS producer, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'begin' WHEN 5 THEN 'commit' WHEN 6 THEN 'abort' WHEN 3 THEN 'expire' ELSE 'append' END AS op, user_id % 4 AS part, CAST(floor(epoch(ts)) AS BIGINT) AS moment, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE q AS {_STATE},
+f AS (SELECT producer, 0::BIGINT AS i, 0::BIGINT AS seq, 'empty' AS state, []::BIGINT[] AS parts, 0::BIGINT AS deadline, 'empty' AS status, []::BIGINT[] AS aborted FROM q WHERE i = 1
+  UNION ALL SELECT q.producer, q.i, q.seq,
+    CASE WHEN op = 'begin' THEN 'ongoing' WHEN ends THEN closed ELSE state END,
+    CASE WHEN op = 'begin' OR ends THEN [] WHEN op = 'append' AND state = 'ongoing' AND NOT list_contains(parts, part) THEN list_append(parts, part) ELSE parts END,
+    CASE WHEN op = 'begin' OR (op = 'append' AND state = 'ongoing') THEN moment + 900 ELSE deadline END,
+    CASE WHEN op = 'begin' THEN 'ongoing' WHEN ends THEN closed WHEN op IN ('commit', 'abort') AND state <> closed THEN 'error' ELSE state END,
+    CASE WHEN ends AND closed = 'aborted' THEN list_sort(parts) ELSE [] END
+  FROM (SELECT f.state, f.parts, f.deadline, q.*, CASE WHEN op = 'commit' THEN 'committed' ELSE 'aborted' END AS closed,
+          f.state = 'ongoing' AND (op IN ('commit', 'abort') OR (op = 'expire' AND f.deadline <= q.moment)) AS ends FROM f JOIN q ON q.producer = f.producer AND q.i = f.i + 1) q)
+SELECT producer, seq, status, aborted FROM f WHERE i > 0""")
 def transaction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import seconds
 
@@ -157,7 +151,17 @@ def transaction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.fold_transactions(commands, 900)
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT 'g' || CAST(user_id % 20 AS VARCHAR) AS "group", event_id AS seq, CASE WHEN event_id % 5 < 2 THEN 'join' WHEN event_id % 5 = 2 THEN 'sync' WHEN event_id % 5 = 3 THEN 'heartbeat' ELSE 'leave' END AS op,
+  'm' || CAST(user_id AS VARCHAR) AS member, event_id % 9 AS asked, CAST(floor(epoch(ts)) AS BIGINT) AS moment, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+f AS (SELECT "group", 0::BIGINT AS i, 0::BIGINT AS seq, '' AS result, 0::BIGINT AS gen, []::STRUCT(m VARCHAR, seen BIGINT)[] AS members FROM q WHERE i = 1
+  UNION ALL SELECT "group", i, seq, result,
+    gen + CASE WHEN op = 'join' OR (op = 'leave' AND result = 'ok') THEN 1 ELSE 0 END,
+    CASE WHEN result = 'ok' THEN list_concat(list_filter(alive, lambda x: x.m <> member), CASE WHEN op = 'leave' THEN [] ELSE [{'m': member, 'seen': moment}] END) ELSE alive END
+  FROM (SELECT *, CASE WHEN op = 'join' THEN 'ok' WHEN NOT list_contains(list_transform(alive, lambda x: x.m), member) THEN 'unknown' WHEN op = 'leave' THEN 'ok'
+          WHEN asked <> gen OR (op = 'sync' AND member <> list_min(list_transform(alive, lambda x: x.m))) THEN 'fenced' ELSE 'ok' END AS result
+        FROM (SELECT q.* REPLACE (gen + len(members) - len(alive) AS gen) FROM (SELECT q.*, f.gen, f.members, list_filter(f.members, lambda x: q.moment - x.seen <= 40000) AS alive
+              FROM f JOIN q ON q."group" = f."group" AND q.i = f.i + 1) q) r) n)
+SELECT "group", seq, result, CAST(gen AS BIGINT) AS generation_now, CAST(len(members) AS BIGINT) AS members, list_min(list_transform(members, lambda x: x.m)) AS leader FROM f WHERE i > 0""")
 def group_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import seconds
 

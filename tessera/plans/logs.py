@@ -99,20 +99,23 @@ def log_start_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.log_start_after(log.retention_candidates(segments(log_records(spark, sf_dir)), 2_000_000, 12_000, NOW))
 
 
-_COMPACT = f"""r AS (SELECT *, "offset" // 16 AS batch, "offset" // 256 AS segment, "offset" % 211 = 5 AS control, CASE WHEN event_id % 389 > 0 THEN key END AS k FROM records),
-latest AS (SELECT part, k, max(batch) AS latest FROM r WHERE k IS NOT NULL AND NOT control GROUP BY part, k),
-alive AS (SELECT DISTINCT r.part, r.batch FROM r JOIN latest l ON l.part = r.part AND l.k = r.k WHERE NOT control AND batch = latest),
+_COMPACT = f"""r AS (SELECT *, "offset" // 16 AS batch, "offset" // 256 AS segment, "offset" % 211 = 5 AS control, CASE WHEN event_id % 389 > 0 THEN key END AS k,
+  CASE WHEN "offset" % 97 = 3 THEN producer ELSE -1 END AS pid, "offset" // 16 % 53 = 7 AS faulty FROM records),
+latest AS (SELECT part, k, max(batch) AS latest FROM r WHERE k IS NOT NULL AND NOT faulty GROUP BY part, k),
+alive AS (SELECT DISTINCT r.part, r.batch FROM r JOIN latest l ON l.part = r.part AND l.k = r.k WHERE NOT faulty AND batch = latest),
 rims AS (SELECT part, segment, min(batch) AS lo, max(batch) AS hi FROM r GROUP BY part, segment),
 tops AS (SELECT part, max(segment) AS end_segment FROM r GROUP BY part),
-b AS (SELECT part, segment, batch, min("offset") AS base_offset, bool_or(control OR k IS NULL) AS opaque,
-             bool_or(value IS NULL AND greatest({NOW} - ts, 0) < 600000) AS young_tombstone FROM r GROUP BY part, segment, batch),
+b AS (SELECT part, segment, batch, min("offset") AS base_offset, bool_or(faulty) AS undecodable, bool_or(NOT faulty AND k IS NULL) AS null_key,
+             bool_or(faulty OR control OR pid >= 0 OR k IS NULL) AS opaque,
+             bool_or(NOT faulty AND k IS NOT NULL AND value IS NULL AND greatest({NOW} - ts, 0) < 600000) AS young_tombstone FROM r GROUP BY part, segment, batch),
 c AS (SELECT b.*, a.batch IS NOT NULL AS is_latest, b.batch = lo OR b.batch = hi AS rim, b.segment < end_segment AS sealed
       FROM b LEFT JOIN alive a ON a.part = b.part AND a.batch = b.batch JOIN rims ON rims.part = b.part AND rims.segment = b.segment JOIN tops ON tops.part = b.part),
 flags AS (SELECT *, NOT sealed OR opaque OR young_tombstone OR is_latest OR rim AS kept FROM c)"""
 
 
 def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = log_records(spark, sf_dir).withColumns({"batch": F.floor(F.col("offset") / 16), "segment": F.floor(F.col("offset") / 256), "control": F.col("offset") % 211 == 5, "key": F.when(F.col("event_id") % 389 > 0, F.col("key"))})
+    o = F.col("offset")
+    records = log_records(spark, sf_dir).withColumns({"batch": F.floor(o / 16), "segment": F.floor(o / 256), "control": o % 211 == 5, "key": F.when(F.col("event_id") % 389 > 0, F.col("key")), "producer": F.when(o % 97 == 3, F.col("producer")).otherwise(-1), "faulty": F.floor(o / 16) % 53 == 7})
     return log.compact(records, NOW, 600_000, records.groupBy("part").agg(F.max("segment").alias("end_segment")))
 
 
@@ -121,11 +124,11 @@ def log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compacted(spark, sf_dir)
 
 
-@query(f"""WITH {RECORDS_SQL}, {_COMPACT} SELECT part, count(*) AS input_batches, count(*) FILTER (kept) AS retained, count(*) FILTER (NOT kept) AS obsolete,
-  count(*) FILTER (opaque) AS opaque, count(*) FILTER (young_tombstone) AS protected_tombstones FROM flags GROUP BY part""")
+@query(f"""WITH {RECORDS_SQL}, {_COMPACT} SELECT part, count(*) AS input_batches, count(*) FILTER (kept) AS retained, count(*) FILTER (NOT kept) AS obsolete, count(*) FILTER (undecodable) AS undecodable,
+  count(*) FILTER (null_key) AS null_key, count(*) FILTER (young_tombstone) AS protected_tombstones FROM flags GROUP BY part""")
 def log_compaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count_if
-    return _compacted(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("input_batches"), n("kept").alias("retained"), n(~F.col("kept")).alias("obsolete"), n("opaque").alias("opaque"), n("young_tombstone").alias("protected_tombstones"))
+    return _compacted(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("input_batches"), n("kept").alias("retained"), n(~F.col("kept")).alias("obsolete"), n("undecodable").alias("undecodable"), n("null_key").alias("null_key"), n("young_tombstone").alias("protected_tombstones"))
 
 
 _HW = "hw AS (SELECT part, max(\"offset\") + 1 AS high_watermark FROM records GROUP BY part)"
@@ -142,9 +145,11 @@ def txn_lso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lso(records, transactions(records))
 
 
-@query(f"WITH {RECORDS_SQL}, {TXNS_SQL} SELECT part, producer, first_offset, last_offset FROM txns WHERE status = 'aborted' AND last_offset >= 120 AND first_offset < 1500")
+@query(f"WITH {RECORDS_SQL}, {TXNS_SQL} SELECT part, producer, first_offset, last_offset FROM txns WHERE status = 'aborted' AND last_offset >= 120 AND first_offset < (SELECT max(\"offset\") // 2 FROM records)")
 def txn_aborted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.aborted_ranges(transactions(log_records(spark, sf_dir)), 120, 1500)
+    records = log_records(spark, sf_dir)
+    through = (records.agg(F.max("offset")).first()[0] or 0) // 2
+    return log.aborted_ranges(transactions(records), 120, through)
 
 
 _ALL_STABLE = "SELECT part, producer, txn, first_offset, last_offset, CASE WHEN status = 'ongoing' AND first_offset < 1200 THEN 'committed' ELSE status END AS status FROM txns"

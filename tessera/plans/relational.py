@@ -58,7 +58,7 @@ statement("sql_window_frame", "SELECT event_id, count(*) OVER (PARTITION BY user
 statement("sql_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer")
 statement("sql_intersect", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 statement("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
-statement("sql_cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT max(n) AS m FROM big) SELECT o_custkey, n FROM big, top WHERE n = m")
+statement("sql_cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT max(n) AS m FROM big) SELECT o_custkey, n FROM big JOIN top ON n = m")
 statement("sql_recursive", "WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 40) SELECT n, total FROM steps")
 statement("sql_scalar_subquery", "SELECT p_partkey, p_retailprice FROM part p WHERE p_size = (SELECT max(p_size) FROM part q WHERE q.p_brand = p.p_brand)")
 statement("sql_case_null", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'even' END AS kind, nullif(c_nationkey, 3) AS other, coalesce(nullif(c_mktsegment, 'FURNITURE'), 'none') AS segment FROM customer")
@@ -69,11 +69,25 @@ statement("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_order
 statement("sql_math", "SELECT l_orderkey, l_linenumber, abs(CAST(l_quantity AS INT) - 25) AS d, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS k, l_partkey % 7 AS r, greatest(l_suppkey, l_linenumber) AS g FROM lineitem",
           "SELECT l_orderkey, l_linenumber, abs(CAST(l_quantity AS INT) - 25) AS d, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS k, l_partkey % 7 AS r, greatest(l_suppkey, l_linenumber) AS g FROM lineitem")
 statement("sql_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
-statement("sql_range_join", """SELECT p_partkey, b.lo FROM part JOIN (SELECT DISTINCT p_size AS lo FROM part WHERE p_size % 10 = 0) b ON p_size >= b.lo AND p_size < b.lo + 10""")
-statement("sql_asof_join", """SELECT event_id, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS o_orderkey FROM events LEFT JOIN orders ON o_custkey = user_id AND o_orderdate <= ts - INTERVAL '9000' DAY GROUP BY event_id""",
+statement("sql_range_join", """SELECT p_partkey, b.lo FROM part JOIN (SELECT DISTINCT p_size AS lo FROM part WHERE p_size % 10 = 0) b ON p_size - p_size % 10 = b.lo - b.lo % 10 AND p_size >= b.lo AND p_size < b.lo + 10""")
+statement("sql_asof_join", """SELECT event_id, latest AS o_orderkey FROM (
+  SELECT event_id, last_value(o_orderkey) IGNORE NULLS OVER (PARTITION BY u ORDER BY t, kind, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM (
+    SELECT o_custkey AS u, CAST(o_orderdate AS TIMESTAMP_NTZ) AS t, 0 AS kind, o_orderkey AS k, o_orderkey, CAST(NULL AS BIGINT) AS event_id FROM orders
+    UNION ALL SELECT user_id, CAST(ts AS TIMESTAMP_NTZ) - INTERVAL '9000' DAY, 1, event_id, NULL, event_id FROM events) x) y WHERE event_id IS NOT NULL""",
           """SELECT event_id, arg_max(o_orderkey, ROW(o_orderdate, o_orderkey)) AS o_orderkey FROM events LEFT JOIN orders ON o_custkey = user_id AND o_orderdate <= ts - INTERVAL '9000' DAY GROUP BY event_id""")
 statement("sql_tumbling_window", "SELECT w.start AS start, event_type, n FROM (SELECT window(ts, '1 day') AS w, event_type, count(*) AS n FROM events GROUP BY window(ts, '1 day'), event_type)",
           "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+statement("sql_sliding_window", "SELECT w.start AS start, event_type, n FROM (SELECT window(ts, '2 days', '1 day') AS w, event_type, count(*) AS n FROM events GROUP BY window(ts, '2 days', '1 day'), event_type)",
+          "SELECT start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start, event_type FROM events) x GROUP BY 1, 2")
+statement("sql_session_window", "SELECT user_id, w.start AS start, n FROM (SELECT session_window(ts, '2 hours') AS w, user_id, count(*) AS n FROM events GROUP BY session_window(ts, '2 hours'), user_id)",
+          """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+  SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events) x) y GROUP BY user_id, s""")
+statement("sql_interval_join", """SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL '1' HOUR""",
+          """SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 1 HOUR""")
+statement("sql_merge_version", """SELECT coalesce(c.c_custkey, n.k) AS c_custkey, CASE WHEN n.k IS NULL THEN c.c_acctbal ELSE n.balance END AS c_acctbal FROM customer c
+  FULL JOIN (SELECT o_custkey + CASE WHEN o_custkey % 50 = 0 THEN 100000000 ELSE 0 END AS k, count(*) * 1.0D AS balance, bool_or(o_orderstatus = 'P') AS gone FROM orders GROUP BY 1) n ON n.k = c.c_custkey WHERE NOT coalesce(n.gone, false)""",
+          """SELECT coalesce(c.c_custkey, n.k) AS c_custkey, CASE WHEN n.k IS NULL THEN c.c_acctbal ELSE n.balance END AS c_acctbal FROM customer c
+  FULL JOIN (SELECT o_custkey + CASE WHEN o_custkey % 50 = 0 THEN 100000000 ELSE 0 END AS k, CAST(count(*) AS DOUBLE) AS balance, bool_or(o_orderstatus = 'P') AS gone FROM orders GROUP BY 1) n ON n.k = c.c_custkey WHERE NOT coalesce(n.gone, false)""")
 statement("sql_pivot", "SELECT * FROM (SELECT event_type, user_id % 4 AS part FROM events) PIVOT (count(*) FOR part IN (0 AS p0, 1 AS p1, 2 AS p2, 3 AS p3))",
           "SELECT event_type, count(*) FILTER (user_id % 4 = 0) AS p0, count(*) FILTER (user_id % 4 = 1) AS p1, count(*) FILTER (user_id % 4 = 2) AS p2, count(*) FILTER (user_id % 4 = 3) AS p3 FROM events GROUP BY event_type")
 statement("sql_arrays", "SELECT doc_id, size(split(source, 'c')) AS parts, array_contains(array(1, 2, 3), CAST(doc_id % 5 AS INT)) AS has, array_join(sort_array(array(source, 'a', 'z')), ',') AS joined FROM documents",

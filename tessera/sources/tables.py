@@ -31,6 +31,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def revision_at(rows: DataFrame, eighths: int) -> int:
+    """The revision so many eighths of the way to the head."""
+    return (rows.agg(F.max("revision")).first()[0] or 0) * eighths // 8
+
+
+REVISION_AT = "(SELECT max(revision) * {} // 8 FROM changes)".format
+
 CHANGES_SQL = """changes AS (
   SELECT user_id % 16 AS namespace, lpad(CAST(user_id AS VARCHAR), 10, '0') AS key, event_id + 1 AS revision,
          CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, md5(CAST(event_id AS VARCHAR)) AS cid,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codec, text
 from tessera.functions.prefix import running_total
-from tessera.operators import erasure, graphs, kv, log, placement, sessions, trees, versions
+from tessera.operators import access, directory, erasure, graphs, kv, log, placement, sessions, trees, versions
 from tessera.streaming import appends
 
 CHANGES = "key string, revision long, op string, cid string, value_kind string"
@@ -109,14 +109,27 @@ def test_retention_is_the_loop_over_oldest_segments(spark):
         assert sorted(r.segment for r in log.retention_candidates(df, age, most, now).collect()) == want
 
 
-def test_compaction_keeps_the_latest_of_each_key(spark):
+RECORDS = "part long, batch long, segment long, offset long, key string, value string, ts long, control boolean, producer long, faulty boolean"
+
+
+def test_compaction_as_a_loop_over_batches(spark):
     rng = random.Random(7)
-    rows = [(0, i // 4, i // 16, i, f"k{rng.randrange(6)}", rng.choice(["v", None]), i, False) for i in range(128)]
-    df = spark.createDataFrame(rows, "part long, batch long, segment long, offset long, key string, value string, ts long, control boolean")
-    kept = {r.batch for r in log.compact(df, 10_000, 5, spark.createDataFrame([(0, 8)], "part long, end_segment long")).filter("kept").collect()}
-    latest = {r[4]: r[1] for r in rows}
-    assert set(latest.values()) <= kept and len(kept) < 32
-    assert {b for s in range(8) for b in (4 * s, 4 * s + 3)} <= kept  # rims of each segment
+    faulty = {9}
+    rows = [(0, i // 4, i // 32, i, rng.choice([*"abcdef", *"abcdef", None]) if i % 5 == 0 else f"k{i % 7}", rng.choice(["v", None]), rng.randrange(40), i % 31 == 3, 4 if i % 29 == 1 else -1, i // 4 in faulty) for i in range(256)]
+    now, grace = 50, 15
+    latest, batches = {}, {}
+    for r in rows:
+        batches.setdefault(r[1], []).append(r)
+        if r[4] is not None and r[1] not in faulty:
+            latest[r[4]] = r[1]
+    want = set()
+    for b, rs in batches.items():
+        keyed = [r for r in rs if r[4] is not None and b not in faulty]
+        always = b in faulty or any(r[7] or r[8] >= 0 or r[4] is None for r in rs)
+        if always or any(r[5] is None and now - r[6] < grace for r in keyed) or any(latest[r[4]] == b for r in keyed) or b % 8 in (0, 7):
+            want.add(b)
+    got = log.compact(spark.createDataFrame(rows, RECORDS), now, grace, spark.createDataFrame([(0, 8)], "part long, end_segment long"))
+    assert {r.batch for r in got.filter("kept").collect()} == want and len(want) < 64
 
 
 def test_fetch_returns_one_batch_at_least(spark):
@@ -138,15 +151,37 @@ def test_producer_never_accepts_gaps(batches):
         assert (e1 == e2 and b2 == b1 + c1) or (e2 > e1 and b2 == 0)
 
 
-def test_transactions_repeat_and_expire():
-    s, step = sessions.Transaction(), sessions.transaction_step
-    assert step(s, "begin", 0, 0, 10, 5)[0] == "ongoing"
-    step(s, "append", 3, 7, 11, 5)
-    assert step(s, "expire", 0, 0, 12, 5) == ("ongoing", [])
-    assert step(s, "abort", 0, 0, 13, 5) == ("aborted", [3]) and step(s, "abort", 0, 0, 14, 5) == ("aborted", [])
-    assert step(s, "commit", 0, 0, 15, 5) == ("error", [])
-    step(s, "begin", 0, 0, 20, 5)
-    assert step(s, "expire", 0, 0, 25, 5) == ("aborted", []) and s.epoch == 1
+def replayed(commands, timeout):
+    state, parts, deadline, out = "empty", set(), 0, []
+    for seq, op, part, at in commands:
+        gone, shown = [], None
+        if op == "begin":
+            state, parts, deadline = "ongoing", set(), at + timeout
+        elif op == "append" and state == "ongoing":
+            parts.add(part)
+            deadline = at + timeout
+        elif state == "ongoing" and (op in ("commit", "abort") or op == "expire" and deadline <= at):
+            state = "committed" if op == "commit" else "aborted"
+            gone = sorted(parts) if state == "aborted" else []
+        elif op in ("commit", "abort") and state != ("committed" if op == "commit" else "aborted"):
+            shown = "error"
+        out.append((seq, shown or state, gone))
+    return out
+
+
+def test_transactions_as_a_replay(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for producer in range(4):
+        at, mine = 0, []
+        for seq in range(300):
+            at += rng.randrange(4)
+            mine.append((seq, rng.choice(["begin", "append", "append", "append", "commit", "abort", "expire"]), rng.randrange(3), at))
+        rows += [(producer, seq, op, part, seq, at) for seq, op, part, at in mine]
+        want += [(producer, *x) for x in replayed(mine, 5)]
+    df = spark.createDataFrame(rows, "producer long, seq long, op string, part long, offset long, at long")
+    got = [(r.producer, r.seq, r.status, list(r.aborted)) for r in sessions.fold_transactions(df, 5).collect()]
+    assert sorted(got) == want
 
 
 def test_groups_have_the_least_member_as_leader():
@@ -181,13 +216,66 @@ def test_reach_ends_on_cycles_and_refuses_depth(spark):
         graphs.reach(edges, seeds, depth=2)
 
 
+NODES = "node string, weight int, zone string, rack string, state string, reachable boolean"
+
+
 def test_placement_spreads_domains_first(spark):
-    nodes = spark.createDataFrame([(f"n{i}", 1 + i % 2, f"d{i % 3}", "in" if i else "out") for i in range(9)], "node string, weight int, domain string, state string")
+    nodes = spark.createDataFrame([(f"n{i}", 1 + i % 2, f"z{i % 3}", f"r{i % 5}", "in" if i else "out", i != 4) for i in range(12)], NODES)
     keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
     got: dict = {}
-    for r in placement.diverse(keys, nodes, 3).collect():
+    for r in placement.diverse(keys, nodes, 3, ["zone", "rack"]).orderBy("key", "rank").collect():
+        got.setdefault(r.key, []).append(int(r.node[1:]))
+    assert all(len({n % 3 for n in x}) == 3 and 0 not in x for x in got.values()) and len(got) == 50
+    assert all(len({n % 5 for n in x}) == 3 for x in got.values())  # a new zone always has a new rack to offer
+    with pytest.raises(ValueError):
+        placement.diverse(keys, nodes, 12, ["zone"])
+    asked = keys.withColumn("exclude", F.array(F.lit("n1"), F.lit("n2")))
+    assert {int(r.node[1:]) % 3 for r in placement.replacements(asked, nodes, ["zone"]).collect()} == {0}
+    none = keys.withColumn("exclude", F.array(*[F.lit(f"n{i}") for i in range(12)]))
+    assert placement.replacements(none, nodes, ["zone"]).count() == 0
+
+
+def test_rendezvous_as_sorting_all_nodes(spark):
+    import hashlib
+
+    names = [f"n{i}" for i in range(200)]
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    keys = [f"k{i}" for i in range(300)]
+    got: dict = {}
+    for r in placement.rendezvous(spark.createDataFrame([(k,) for k in keys], "key string"), nodes, 2).orderBy("key", "rank").collect():
         got.setdefault(r.key, []).append(r.node)
-    assert all(len({int(n[1:]) % 3 for n in x}) == 3 and "n0" not in x for x in got.values()) and len(got) == 50
+    assert got == {k: sorted(names, key=lambda n: hashlib.md5(f"{k}:{n}".encode()).hexdigest(), reverse=True)[:2] for k in keys}
+
+
+def test_repairs_of_missing_copies(spark):
+    nodes = spark.createDataFrame([(f"n{i}", 1, f"z{i}", f"r{i}", "in", i not in (1, 2)) for i in range(5)], NODES)
+    targets = spark.createDataFrame([(k, n) for k in "abcd" for n in ("n0", "n1")], "key string, node string")
+    healthy = spark.createDataFrame([("a", "n0"), ("b", "n1"), ("c", "n0"), ("c", "n3"), ("d", "n0"), ("d", "n3")], "key string, node string")
+    exceptions = spark.createDataFrame([("c", "n3", 100), ("d", "n3", 15)], "key string, node string, expires_at long")
+    got = {(r.key, r.missing): (r.destination, r.temporary) for r in placement.plan_repairs(targets, healthy, nodes, exceptions, ["zone"], 10, 30).collect()}
+    assert got.pop(("a", "n1"))[0] in {"n2", "n3", "n4"}
+    assert got == {("b", "n0"): ("n0", False), ("d", "n1"): ("n3", True)}  # c has a standing copy, d's expires soon
+
+
+def test_link_readers_and_headers(spark):
+    readers = directory.LinkReaders()
+    readers.register("list", lambda p: F.split(p, ","))
+    with pytest.raises(ValueError):
+        readers.register("list", lambda p: p)
+    blocks = spark.createDataFrame([("a", "list", "b,c"), ("b", "list", "c")], "node string, codec string, payload string")
+    assert {tuple(r) for r in readers.links(blocks).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    with pytest.raises(Exception, match="no reader"):
+        readers.links(blocks.withColumn("codec", F.lit("other"))).collect()
+    header = b"SQLite format 3\0" + bytes([16, 0]) + bytes(10) + (3).to_bytes(4, "big") + bytes(68)
+    df = spark.createDataFrame([(bytearray(header), 3 * 4096), (bytearray(header), 4096), (bytearray(header[:99]), 0), (bytearray(b"x" + header[1:]), 3 * 4096)], "h binary, n long")
+    assert [r[0] for r in df.select(directory.database_header(F.col("h"), F.col("n"))).collect()] == [None, "pages", "short", "magic"]
+
+
+def test_access_rules_for_everyone(spark):
+    rules = spark.createDataFrame([("*", "topic", "*", "literal", "read", "allow"), ("*", "topic", "", "prefix", "all", "allow"), ("u1", "topic", "a", "prefix", "write", "deny"), ("*", "group", "g", "literal", "read", "allow")], "principal string, resource_type string, resource string, pattern string, operation string, effect string")
+    asked = [(1, "u1", "topic", "abc", "read"), (2, "u1", "topic", "abc", "write"), (3, "u2", "topic", "abc", "write"), (4, "u2", "group", "g", "read"), (5, "u2", "group", "h", "read")]
+    got = access.authorize(spark.createDataFrame(asked, "request long, principal string, resource_type string, resource string, operation string"), rules)
+    assert {r.request: r.allowed for r in got.collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
 
 
 def test_tree_closure_and_missing_parents(spark):
