@@ -14,8 +14,10 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH) -> DataFr
     """root, node, level: everything each seed (root, node) reaches, each node once a root, at its least level.
 
     A frontier loop: each level is a join with the edges and an anti-join with what was seen,
-    so cycles end and the rounds are the graph's depth. Lineage is cut at each level.
+    so cycles end and the rounds are the graph's depth. Lineage is cut at each level, and the
+    edges are computed once.
     """
+    edges = checkpointed(edges.select("parent", "child"))
     seen = checkpointed(seeds.select("root", "node").distinct().withColumn("level", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
