@@ -25,3 +25,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> set[str]:
+    """The tables and checkpoints that this application has in the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = set()
+    for entry in files.listStatus(folder):
+        inner = [entry] if entry.getPath().getName().startswith("rdd-") else files.listStatus(entry.getPath())
+        found |= {x.getPath().toString() for x in inner}
+    return found
+
+
+def discard(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes tables and checkpoints that no DataFrame still to be run reads."""
+    for path in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
