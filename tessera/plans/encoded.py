@@ -19,7 +19,10 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", codec.content_id(5, F.col("text")).alias("cid"))
 
 
-@query()
+@query("""WITH RECURSIVE g(n, k, c) AS (SELECT n, 0, n FROM range(256) r(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END FROM g WHERE k < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM g WHERE k = 8), h AS (SELECT page_id, hex(encode(html)) AS h FROM pages),
+b AS (SELECT page_id, list_prepend(4294967295::BIGINT, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) for i in range(0, length(h) // 2)]) AS bytes FROM h)
+SELECT page_id, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS crc32c FROM b, t""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", codec.crc32c(F.col("html").cast("binary")).alias("crc32c"))
 
