@@ -220,7 +220,8 @@ def build_index(rows: DataFrame, sample: int = SAMPLE, goal: float = GOAL, leaf:
         h = F.xxhash64("vec_id", F.lit(level))
         share = F.col("n") <= sample if level else F.lit(False)
         drawn = placed.join(large, "path").withColumn("h", h).filter(share | (F.pmod(h, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * (1.1 * sample + 100) / F.col("n")))  # some more than the fit takes
-        models = written(drawn.select("path", "vec_id", "v", "h").groupBy("path").applyInPandas(_fit(sample, goal ** (1 / levels)), "path bigint, model binary"))
+        drawn = drawn.groupBy("path", "vec_id", "h").agg(F.any_value("v").alias("v"))  # an id that very many rows repeat is one row of the sample
+        models = written(drawn.groupBy("path").applyInPandas(_fit(sample, goal ** (1 / levels)), "path bigint, model binary"))
         if level and models.isEmpty():
             break
         placed = written(_descend(placed, models, lambda m, v: pickle.loads(m["model"]).order(v)[:, :1].tolist()))
