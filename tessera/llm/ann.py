@@ -23,7 +23,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, written
@@ -173,6 +173,11 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     return pd.concat(found) if found else empty
 
 
+def _root() -> Column:
+    """The path of what is in no partition yet: 0, but no literal, as the optimizer makes products of joins on a constant."""
+    return (F.col("vec_id") * 0).alias("path")
+
+
 def _dealt(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """entries with a block: one of as many as ``blocks`` (path, blocks) gives their partition."""
     return entries.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
@@ -214,7 +219,7 @@ def build_index(rows: DataFrame, sample: int = SAMPLE, goal: float = GOAL, leaf:
     """
     leaf, n = leaf or LEAF, rows.count()
     levels = max(1, int(np.ceil(np.log(max(n / leaf, 1)) / np.log(PARTITIONS))))
-    placed, index = rows.select(F.lit(0).cast("bigint").alias("path"), "vec_id", "v"), []
+    placed, index = rows.select(_root(), "vec_id", "v"), []
     for level in range(levels):
         large = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (leaf if level else 0))
         h = F.xxhash64("vec_id", F.lit(level))
@@ -240,7 +245,7 @@ def route_queries(asked: DataFrame, index: list[DataFrame], k: int) -> DataFrame
             sizes[s["part"]] = s["n"]
         return router.routes(matrix, sizes[: router.parts], k)
 
-    routed = asked.select(F.lit(0).cast("bigint").alias("path"), "vec_id", "v")
+    routed = asked.select(_root(), "vec_id", "v")
     for models in index:
         routed = _descend(routed, models, choose)
     return routed
