@@ -9,6 +9,7 @@ without a piece does, so encoding loses nothing.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PRE_TOKEN = re.compile(rb"\n| *[^ \n]+| +")
 
 
+#: Trie nodes of the first levels, up to so many in all, have a table of all next bytes (16 MB).
+_DENSE = 1 << 14
+
+
 def read_model(path: str = MODEL) -> bytes:
     """The file's bytes; read on the driver and sent with the tasks, as executors may not have the file."""
     with open(path, "rb") as f:
@@ -58,18 +63,25 @@ class Vocabulary:
                     ends.append(-1)
                 at = to
             ends[at] = i
-        pairs = sorted((at * 256 + b, to) for at, node in enumerate(nodes) for b, to in node.items())
+        level, order, dense = [0], [], 0  # nodes are numbered level by level, so that those of a step lie together
+        while level:
+            order += level
+            dense = len(order) if len(order) <= _DENSE else dense
+            level = [to for at in level for to in nodes[at].values()]
+        number = np.empty(len(nodes), dtype=np.int32)
+        number[order] = np.arange(len(nodes))
+        self.ends = np.array(ends, dtype=np.int32)[order]
+        pairs = sorted((int(number[at]) * 256 + b, int(number[to])) for at, node in enumerate(nodes) for b, to in node.items())
         self._keys = np.array([k for k, _ in pairs] + [1 << 62], dtype=np.int64)
         self._to = np.array([t for _, t in pairs] + [-1], dtype=np.int32)
-        self.ends = np.array(ends, dtype=np.int32)
-        self._root = np.full(256, -1, dtype=np.int32)
-        for b, to in nodes[0].items():
-            self._root[b] = to
+        self._dense = np.full((dense, 256), -1, dtype=np.int32)
+        inner = self._keys < dense * 256
+        self._dense.reshape(-1)[self._keys[inner]] = self._to[inner]
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The trie node after one more byte, -1 if no piece goes on like that."""
-        if not node.any():
-            return self._root[byte]
+        if node.max(initial=0) < len(self._dense):
+            return self._dense[node, byte]
         key = node.astype(np.int64) * 256 + byte
         at = np.searchsorted(self._keys, key)
         return np.where(self._keys[at] == key, self._to[at], -1)
@@ -86,13 +98,14 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 def pre_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct pre-tokens, index of each occurrence's, occurrences per text), with the leading space put in."""
-    index: dict[bytes, int] = {}
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__  # a new pre-token gets the next number
     found, lengths = [], np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         if t:
             words = PRE_TOKEN.findall(b" " + t)
             lengths[i] = len(words)
-            found += [index.setdefault(w, len(index)) for w in words]
+            found += map(index.__getitem__, words)
     return list(index), np.array(found, dtype=np.int64), lengths
 
 
