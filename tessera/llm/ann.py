@@ -35,6 +35,7 @@ ROWS_PER_PARTITION = 128
 LEAF = 32_768
 BLOCK = 16_384
 GOAL = 0.95
+MOST_PATHS = 100_000
 _NEAR = 10
 _HUGE, _TINY = 2.0**500, 2.0**-500
 
@@ -178,9 +179,19 @@ def _root() -> Column:
     return (F.col("vec_id") * 0).alias("path")
 
 
+def _with_path(entries: DataFrame, table: DataFrame) -> DataFrame:
+    """entries joined with a written table of one row a partition.
+
+    Up to ``MOST_PATHS`` rows it goes to all tasks, so that no partition's entries are gathered in
+    one; beyond that there are partitions enough to deal entries by.
+    """
+    few = table.limit(MOST_PATHS + 1).count() <= MOST_PATHS
+    return entries.join(F.broadcast(table) if few else table, "path")
+
+
 def _dealt(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """entries with a block: one of as many as ``blocks`` (path, blocks) gives their partition."""
-    return entries.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    return _with_path(entries, blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
@@ -221,10 +232,10 @@ def build_index(rows: DataFrame, sample: int = SAMPLE, goal: float = GOAL, leaf:
     levels = max(1, int(np.ceil(np.log(max(n / leaf, 1)) / np.log(PARTITIONS))))
     placed, index = rows.select(_root(), "vec_id", "v"), []
     for level in range(levels):
-        large = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (leaf if level else 0))
+        large = written(placed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (leaf if level else 0)))
         h = F.xxhash64("vec_id", F.lit(level))
         share = F.col("n") <= sample if level else F.lit(False)
-        drawn = placed.join(large, "path").withColumn("h", h).filter(share | (F.pmod(h, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * (1.1 * sample + 100) / F.col("n")))  # some more than the fit takes
+        drawn = _with_path(placed, large).withColumn("h", h).filter(share | (F.pmod(h, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * (1.1 * sample + 100) / F.col("n")))  # some more than the fit takes
         drawn = drawn.groupBy("path", "vec_id", "h").agg(F.any_value("v").alias("v"))  # an id that very many rows repeat is one row of the sample
         models = written(drawn.groupBy("path").applyInPandas(_fit(sample, goal ** (1 / levels)), "path bigint, model binary"))
         if level and models.isEmpty():
@@ -275,9 +286,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
     routed = written(route_queries(asked, index, k))
     blocks, shares = written(_blocks(placed)), written(_blocks(routed).select("path", F.col("blocks").alias("shares")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = _dealt(placed, blocks).join(shares, "path").withColumn("share", each("shares")).drop("shares")
-    theirs = routed.join(shares, "path").withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")).drop("shares")
-    theirs = theirs.join(blocks, "path").withColumn("block", each("blocks")).drop("blocks")
+    mine = _with_path(_dealt(placed, blocks), shares).withColumn("share", each("shares")).drop("shares")
+    theirs = _with_path(routed, shares).withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")).drop("shares")
+    theirs = _with_path(theirs, blocks).withColumn("block", each("blocks")).drop("blocks")
     key = ["path", "block", "share"]
     near = mine.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInPandas(lambda a, b: search_block(a, b, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
