@@ -247,6 +247,45 @@ def test_rendezvous_as_sorting_all_nodes(spark):
     assert got == {k: sorted(names, key=lambda n: hashlib.md5(f"{k}:{n}".encode()).hexdigest(), reverse=True)[:2] for k in keys}
 
 
+def _cheapest(key, nodes, k, used=(), gone=()):
+    """The greedy choices over all nodes: (name, weight, zone, rack)."""
+    import hashlib
+
+    used, out = ({z for z, _ in used}, {r for _, r in used}), []
+    cost = {n: ((1 << 52) - 1 - int(hashlib.md5(f"{key}:{n}".encode()).hexdigest()[:13], 16)) / w for n, w, _, _ in nodes if n not in gone}
+    for _ in range(k):
+        name, _, zone, rack = min((x for x in nodes if x[0] in cost), key=lambda x: (x[2] in used[0], x[3] in used[1], cost[x[0]], x[0]))
+        out.append(name)
+        del cost[name]
+        used[0].add(zone), used[1].add(rack)
+    return out
+
+
+@pytest.mark.parametrize("zones", [2, 5])
+def test_placement_on_more_nodes_than_a_block(spark, zones):
+    import hashlib
+
+    nodes = [(f"n{i}", 1 + i % 3, f"z{i % zones}", f"r{i % 7 if i % 40 else i}") for i in range(40_000)]
+    table = spark.createDataFrame([(*n, "in", True) for n in nodes], "node string, weight int, zone string, rack string, state string, reachable boolean")
+    names = ["k1", "k22", "key of more than one block " * 3, "é", ""]
+    keys = spark.createDataFrame([(k,) for k in names], "key string")
+
+    def chosen(df):
+        got: dict = {}
+        for r in df.orderBy("key", "rank").collect():
+            got.setdefault(r.key, []).append(r.node)
+        return got
+
+    assert chosen(placement.greedy(keys, table, 4, ["zone", "rack"])) == {k: _cheapest(k, nodes, 4) for k in names}
+    gone = [f"n{i}" for i in range(1, zones)]
+    asked = keys.withColumn("exclude", F.array(*map(F.lit, gone)))
+    used = [(n[2], n[3]) for n in nodes if n[0] in gone]
+    got = {r.key: r.node for r in placement.replacements(asked, table, ["zone", "rack"]).collect()}
+    assert got == {k: _cheapest(f"repair:{k}", nodes, 1, used, gone)[0] for k in names}
+    best = lambda k: sorted((n[0] for n in nodes), key=lambda n: hashlib.md5(f"{k}:{n}".encode()).hexdigest(), reverse=True)[:40]
+    assert chosen(placement.rendezvous(keys, table, 40)) == {k: best(k) for k in names}
+
+
 def test_repairs_of_missing_copies(spark):
     nodes = spark.createDataFrame([(f"n{i}", 1, f"z{i}", f"r{i}", "in", i not in (1, 2)) for i in range(5)], NODES)
     targets = spark.createDataFrame([(k, n) for k in "abcd" for n in ("n0", "n1")], "key string, node string")
