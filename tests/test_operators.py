@@ -286,6 +286,16 @@ def test_placement_on_more_nodes_than_a_block(spark, zones):
     assert chosen(placement.rendezvous(keys, table, 40)) == {k: best(k) for k in names}
 
 
+def test_repair_plan_places_its_targets_once(spark, sf_dir, monkeypatch):
+    from tessera.plans import QUERIES
+
+    found, asked = placement._finder, []
+    monkeypatch.setattr(placement, "_finder", lambda *a: asked.append(a) or found(*a))
+    plan = QUERIES["repair_plan"](spark, sf_dir)
+    assert len(asked) == 2  # the targets, and the replacements of those without a home
+    assert "FlatMapCoGroups" not in plan._jdf.queryExecution().executedPlan().toString()  # what reads them five times reads what is placed
+
+
 def test_repairs_of_missing_copies(spark):
     nodes = spark.createDataFrame([(f"n{i}", 1, f"z{i}", f"r{i}", "in", i not in (1, 2)) for i in range(5)], NODES)
     targets = spark.createDataFrame([(k, n) for k in "abcd" for n in ("n0", "n1")], "key string, node string")
