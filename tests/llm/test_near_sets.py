@@ -91,3 +91,21 @@ def test_repeated_shingles_do_not_hide_a_link(spark):
 def test_links_of_a_group_are_followed_from_set_to_set():
     chain = [np.arange(i, i + 20, dtype=np.int64) for i in range(0, 60, 2)] + [np.arange(500, 520, dtype=np.int64)]
     assert near_sets.linked_sets(chain).tolist() == [0] * 30 + [30]
+
+
+def test_tiles_of_fingerprints_find_the_links_of_all_pairs():
+    from tessera.llm.simhash import majority
+
+    rng = np.random.default_rng(5)
+    base = [rng.integers(-(1 << 62), 1 << 62, 60) for _ in range(12)]
+    found = [np.unique(np.concatenate([rng.choice(b, 60 - n, replace=False), rng.integers(-(1 << 62), 1 << 62, n)])) for b in base for n in range(0, 12, 2)]
+    prints = [majority(s) for s in found]
+    label = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            both = len(np.intersect1d(found[i], found[j]))
+            if 5 * both >= 4 * (len(found[i]) + len(found[j]) - both) and (prints[i] ^ prints[j]).bit_count() <= near_sets.RADIUS and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert len(set(label)) > 12
+    for tile in (1, 7, 2048):
+        assert near_sets.linked_sets(found, tile=tile).tolist() == label
