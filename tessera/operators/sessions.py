@@ -7,6 +7,8 @@ replay; they are windows and aggregates.
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +73,60 @@ def fold_transactions(commands: DataFrame, timeout: int) -> DataFrame:
 
 
 class Group:
+    """A group's generation and its members with the time each was last seen.
+
+    Two heaps beside them give who was seen longest ago and the least id, so a command costs the logarithm of the
+    members. An entry that the members don't bear out any more is passed over, and a heap of mostly such is made anew.
+    """
+
     def __init__(self) -> None:
         self.generation, self.members = 0, {}
+        self._seen: list[tuple[int, str]] = []
+        self._ids: list[str] = []
+
+    def see(self, member: str, at: int) -> None:
+        if member not in self.members:
+            if len(self._ids) > 2 * len(self.members) + 64:
+                self._ids = sorted(self.members)
+            heappush(self._ids, member)
+        self.members[member] = at
+        if len(self._seen) > 2 * len(self.members) + 64:
+            self._seen = sorted((seen, m) for m, seen in self.members.items())
+        else:
+            heappush(self._seen, (at, member))
+
+    def expire(self, before: int) -> None:
+        """Members last seen before this time leave, each with a new generation."""
+        while self._seen and self._seen[0][0] < before:
+            seen, member = heappop(self._seen)
+            if self.members.get(member) == seen:
+                self.leave(member)
+
+    def leave(self, member: str) -> None:
+        del self.members[member]
+        self.generation += 1
+
+    def leader(self) -> str | None:
+        while self._ids and self._ids[0] not in self.members:
+            heappop(self._ids)
+        return self._ids[0] if self._ids else None
 
 
 def group_step(g: Group, op: str, member: str, generation: int, at: int, timeout: int) -> str:
     """ok, unknown or fenced. ops: join and leave (a new generation), heartbeat, sync (the leader's, the least id)."""
-    for m in [m for m, seen in g.members.items() if at - seen > timeout]:
-        del g.members[m]
-        g.generation += 1
+    g.expire(at - timeout)
     if op == "join":
-        g.members[member] = at
+        g.see(member, at)
         g.generation += 1
         return "ok"
     if member not in g.members:
         return "unknown"
     if op == "leave":
-        del g.members[member]
-        g.generation += 1
+        g.leave(member)
         return "ok"
-    if generation != g.generation or (op == "sync" and member != min(g.members)):
+    if generation != g.generation or (op == "sync" and member != g.leader()):
         return "fenced"
-    g.members[member] = at
+    g.see(member, at)
     return "ok"
 
 
@@ -101,6 +135,6 @@ def fold_groups(commands: DataFrame, timeout: int) -> DataFrame:
 
     def step(g: Group, r) -> dict:
         result = group_step(g, r.op, r.member, int(r.generation), int(r.at), timeout)
-        return {"seq": r.seq, "result": result, "generation_now": g.generation, "members": len(g.members), "leader": min(g.members, default=None)}
+        return {"seq": r.seq, "result": result, "generation_now": g.generation, "members": len(g.members), "leader": g.leader()}
 
     return ordered_fold(commands, ["group"], ["seq"], Group, step, "group string, seq bigint, result string, generation_now bigint, members bigint, leader string")

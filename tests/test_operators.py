@@ -191,6 +191,41 @@ def test_groups_have_the_least_member_as_leader():
     assert step(g, "heartbeat", "b", 2, 9, 9) == "ok" and step(g, "heartbeat", "a", 2, 12, 9) == "unknown"
 
 
+def test_a_large_group_costs_no_pass_over_its_members_a_command():
+    import time
+
+    def plain(members, generation, op, member, asked, at):  # the SQL's step
+        for m in [m for m, seen in members.items() if at - seen > 20]:
+            del members[m]
+            generation += 1
+        if op == "join":
+            members[member] = at
+            return "ok", generation + 1
+        if member not in members:
+            return "unknown", generation
+        if op == "leave":
+            del members[member]
+            return "ok", generation + 1
+        if asked != generation or (op == "sync" and member != min(members)):
+            return "fenced", generation
+        members[member] = at
+        return "ok", generation
+
+    rng = random.Random(4)
+    for _ in range(40):
+        g, members, generation, at = sessions.Group(), {}, 0, 0
+        for _ in range(300):
+            at += rng.choice([0, 0, 1, 5, -3, -40])  # times need not rise
+            command = rng.choice(["join", "join", "sync", "heartbeat", "leave"]), f"m{rng.randrange(12)}", generation + rng.choice([0, 0, 1]), at
+            want, generation = plain(members, generation, *command)
+            assert (sessions.group_step(g, *command, 20), g.generation, g.members, g.leader()) == (want, generation, members, min(members, default=None))
+    g, start = sessions.Group(), time.process_time()
+    for i in range(200_000):
+        sessions.group_step(g, "join", f"m{i % 20_000}", 0, i // 1000, 40_000)
+        g.leader()
+    assert len(g.members) == 20_000 and time.process_time() - start < 10  # a pass a command took minutes
+
+
 def test_streaming_decides_as_the_batch_does(spark, tmp_path):
     rng = random.Random(8)
     rows, base = [], {}
