@@ -396,3 +396,18 @@ def test_text_functions(spark):
     ).first()
     assert (row.a, row.b, row.c, row.d) == ("a%20b%2F~%2A%C3%A9", "a%20b/~", "a+b c", None)
     assert tuple(row.t) == ("k/1", 3) and (row.m, row.n, row.o) == (200, 412, 304) and row.u == {"who": "me"}
+
+
+def test_record_batches_are_read_by_few(spark):
+    import pyarrow as pa
+
+    full = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["n"])
+    parts = list(codec._parts(iter([full, full.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= 256 and [n for p in parts for n in p.column(0).to_pylist()] == list(range(10_000))
+    rows = [(0, i // 2 * 2, 5, i, i % 7, None if i % 3 else f"k{i}", None if i % 5 else "v") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "part long, base_offset long, producer long, offset long, ts long, key string, value string").coalesce(1)
+    batches = codec.encode_batches(df)
+    got = codec.decode_batches(batches).select("offset", "ts", "producer", F.col("key").cast("string"), F.col("value").cast("string")).collect()
+    assert sorted((r[0], r[1], r[2], r[3], r[4]) for r in got) == sorted(((i, t, p, k, v) for _, _, p, i, t, k, v in rows))
+    bad = F.when(F.col("base_offset") % 600 == 0, F.lit(b"x")).otherwise(F.col("batch"))
+    assert {(r.base_offset, r.fault) for r in codec.faults(batches.withColumn("batch", bad)).collect()} == {(b, "length") for b in (0, 600, 1200, 1800)}
