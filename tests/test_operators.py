@@ -331,6 +331,22 @@ def test_repair_plan_places_its_targets_once(spark, sf_dir, monkeypatch):
     assert "FlatMapCoGroups" not in plan._jdf.queryExecution().executedPlan().toString()  # what reads them five times reads what is placed
 
 
+def test_repair_plan_has_tasks_for_its_pairs_not_for_other_shuffles(spark, sf_dir):
+    from tessera.plans import QUERIES
+
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    context.setJobGroup("repair_plan", "")
+    try:
+        QUERIES["repair_plan"](spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("repair_plan") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s and s.numCompletedTasks) <= 8 * context.defaultParallelism
+
+
 def test_repairs_of_missing_copies(spark):
     nodes = spark.createDataFrame([(f"n{i}", 1, f"z{i}", f"r{i}", "in", i not in (1, 2)) for i in range(5)], NODES)
     targets = spark.createDataFrame([(k, n) for k in "abcd" for n in ("n0", "n1")], "key string, node string")
