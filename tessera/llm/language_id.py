@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from .common import packed, unpacked
+from .common import packed, portions, unpacked
 
 #: Hash buckets of trigrams. The model, languages x BUCKETS numbers, is all that reaches the driver.
 BUCKETS = 1 << 14
@@ -42,7 +42,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (x for whole in batches for x in portions(whole)):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             into = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             into += np.bincount(trigrams(text), minlength=BUCKETS)
@@ -101,26 +101,28 @@ def infer(text: str, model: np.ndarray) -> tuple[list[int], list[float], float]:
     return langs[first].tolist(), np.clip(s[first], 0.0, 1.0).tolist(), mean
 
 
-def predict(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def predict(rows: DataFrame, langs: list[str], model: np.ndarray, inside: int | None = None) -> DataFrame:
     """rows (any columns, the last one the text) with langs, shares and fit in the text's place; no shuffle.
 
+    inside: the last column is a struct, whose field of that number is the text, and stays.
     fit: mean log-likelihood of the text's trigrams; null, with no langs, where the text is null or has no letter.
     """
-    names, kept = [*langs], rows.columns[:-1]
+    names, kept = [*langs], rows.columns[:-1] if inside is None else rows.columns
     schema = rows.select(kept).schema.add("langs", ArrayType(StringType())).add("shares", ArrayType(DoubleType())).add("fit", DoubleType())
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole)):
             found: list[tuple] = []
-            for x in batch.column(len(kept)).to_pylist():
+            texts = batch.columns[-1] if inside is None else batch.columns[-1].field(inside)
+            for x in texts.to_pylist():
                 if not x or not names or not _LETTER.search(x):
                     found.append(([], [], None))
                 else:
                     at, shares, fit = infer(x, shared.value)
                     found.append(([names[i] for i in at], shares, fit))
             which, shares, fit = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(which, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), pa.array(fit, pa.float64())], names=[*kept, "langs", "shares", "fit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(which, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), pa.array(fit, pa.float64())], names=[*kept, "langs", "shares", "fit"])
 
     return rows.mapInArrow(score, schema)
 
@@ -157,5 +159,6 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     langs, model = train(docs.filter(~_held_out(doc_id)), text, lang)
     if not langs:
         return docs.filter(F.regexp_like(F.col(text), F.lit(r"\p{L}")))
-    found = predict(docs.select(packed(docs).alias("row"), F.col(text)), langs, model)
+    place = [c.lower() for c in docs.columns].index(text.lower())  # taken from the row, so that batches hold a text once
+    found = predict(docs.select(packed(docs).alias("row")), langs, model, place)
     return found.filter(F.col("fit") > F.lit(-float(np.log(BUCKETS)) - NOISE)).select(*unpacked(docs.columns))

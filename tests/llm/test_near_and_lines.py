@@ -159,3 +159,30 @@ def test_patience_grows_blocks_over_repeated_lines():
     shared = [([0], [10]), ([1, 3], [11, 13]), ([2], [12]), ([4], [14])]
     assert line_dedup.patience(shared) == [0, 1, 2, 3, 4]
     assert line_dedup.patience([([0], [5]), ([1], [4]), ([2], [6])]) in ([0, 2], [1, 2])
+
+
+def test_full_batches_of_lines_are_worked_on_in_portions():
+    import pyarrow as pa
+
+    from tessera.llm.line_dedup import _delete, _lines
+
+    texts = [f"{i}\n{'x' * 2_000}\n\n{i}" for i in range(10_000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.array([str(i) for i in range(len(texts))])], names=["doc_id", "text", "content"])
+    found = list(_lines([batch]))
+    assert len(found) > 3 and max(x.num_rows for x in found) < 10_000
+    rows = [r for x in found for r in x.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [i for i in range(len(texts)) for _ in range(2)] and rows[-2]["at"] == [0, 3]
+    gone = pa.array([[[1]] if i % 2 else None for i in range(len(texts))], pa.list_(pa.list_(pa.int32())))
+    left = list(_delete([pa.RecordBatch.from_arrays([ids, pa.array(texts), gone, pa.array([None] * len(texts), pa.bool_())], names=["row", "text", "gone", "copy"])]))
+    assert len(left) > 3
+    assert [t for x in left for t in x["text"].to_pylist()] == [f"{i}\n\n{i}" if i % 2 else t for i, t in enumerate(texts)]
+
+
+def test_texts_are_not_carried_beside_what_replaces_them(spark):
+    from tessera.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "a\nb", "x"), (2, "c\na\nb", "y")], "doc_id long, text string, source string")
+    kept = line_dedup.dedup_rows(docs)
+    assert kept.schema["row"].dataType.names == ["doc_id", "source"]
+    assert {r.doc_id: (r.text, r.n_removed, r.source) for r in line_dedup.dedup_lines(docs).collect()} == {1: ("a\nb", 0, "x"), 2: ("c", 2, "y")}

@@ -198,3 +198,14 @@ def test_language_edge_cases(spark):
     unlabelled = language_id.identify_languages(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
     assert all(r.langs == [] and r.shares == [] for r in (by[100], by[101], by[102])) and by[103].langs[0] == "de" and by[103].shares[0] == by[103].score
+
+
+def test_identified_rows_reach_python_with_one_copy_of_the_text(spark):
+    from tessera.llm import language_id
+
+    texts = ["the cat sat on the mat and the dog sat too", "le chat est sur la table et le chien aussi", "1 2 3", None]
+    docs = spark.createDataFrame([(i, t, ["en", "fr", None, None][i % 4], "s") for i, t in enumerate(texts * 10)], "doc_id long, Text string, lang string, source string")
+    kept = language_id.keep_identified(docs)
+    below = kept._jdf.queryExecution().analyzed().toString().split("MapInArrow", 1)[1]
+    assert below.split("\n")[1].count("Text#") == 1
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect() if r.doc_id % 4 < 2}
