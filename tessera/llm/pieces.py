@@ -13,6 +13,7 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: No piece spans these boundaries: spaces stand only at a piece's start, U+000A only alone.
@@ -51,6 +52,7 @@ class Vocabulary:
         rank = np.full(n, float(len(ordinary)))  # bytes: below every piece
         by_score = sorted(ordinary, key=lambda i: (-sp.get_score(i), i))
         rank[by_score] = np.arange(len(by_score))
+        self._bytes = pa.array(self.text, pa.large_binary())
         self.logp = -np.log(rank + 1) - np.log(np.sum(1 / (rank + 1)))
         nodes: list[dict[int, int]] = [{}]
         ends = [-1]
@@ -90,6 +92,14 @@ class Vocabulary:
         """The text of token ids: their bytes without the space that encoding puts in front."""
         return b"".join(map(self.text.__getitem__, ids))[1:]
 
+    def decode_runs(self, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """As ``decode`` for each run of ids; ``ends`` has 0 and the end of each run."""
+        taken = self._bytes.take(pa.array(ids))
+        _, places, data = taken.buffers()
+        data = memoryview(data or b"")
+        at = np.frombuffer(places, np.int64)[ends].tolist() if len(ids) else [0] * len(ends)
+        return [data[a + 1 : b] for a, b in zip(at[:-1], at[1:])]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(model: bytes) -> Vocabulary:

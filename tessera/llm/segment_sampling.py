@@ -29,6 +29,8 @@ from .pieces import MODEL, Vocabulary, chunks, pre_tokens, read_model, vocabular
 
 SAMPLES = 2
 SEED = 20_240_601
+#: Bytes of text whose lattices and paths a task holds at once.
+_STRETCH = 1 << 18
 
 
 def uniform(key: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
@@ -91,7 +93,7 @@ class Lattice:
             back[x[first]] = high + np.log(np.add.reduceat(np.exp(w - np.repeat(high, width)), first))
         self.from_, self.to, self.token = from_, to, t  # a state's longest pieces first: mostly its likeliest, so that a draw looks at few
         self.logp = np.minimum(score + back[to] - back[from_], 0.0)
-        self.first = np.searchsorted(self.from_, np.arange(len(self.final) + 1))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(from_, minlength=len(self.final)))))
         self._within = np.exp(self.logp)  # then the sum up to the edge within its state, added in the state's own order
         degree = np.diff(self.first)
         for r in range(1, int(degree.max(initial=0))):
@@ -186,22 +188,33 @@ def sample_segmentations(lattice: Lattice, word: np.ndarray, lengths: np.ndarray
         if len(paths) == k:
             return paths, best
         r, doc = len(paths), np.flatnonzero(np.isfinite(best))
-        heads, turns = [], np.zeros((len(doc), 3), dtype=np.int64)  # edge, place in the path, pre-token
-        for i, d in enumerate(doc):
-            j = source[d]
-            p, at = paths[j], int(tops[j][1][d])
-            row = p.of[at]
-            place, state = at - p.offset[row], lattice.from_[p.edges[at]]
-            taken = used.setdefault((int(j), at), [int(p.edges[at])])
-            free = np.setdiff1d(np.arange(lattice.first[state], lattice.first[state + 1]), taken)
+        at = np.stack([t[1] for t in tops])[source[doc], doc]
+        place, state, before = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc))
+        heads, turns = [slice(0)] * len(doc), np.zeros((len(doc), 3), dtype=np.int64)  # edge, place in the path, pre-token
+        for j, p in enumerate(paths):
+            mine = np.flatnonzero(source[doc] == j)
+            starts = p.offset[p.of[at[mine]]]
+            place[mine], state[mine], before[mine] = at[mine] - starts, lattice.from_[p.edges[at[mine]]], p.before[at[mine]]
+            turns[mine, 2] = p.word[at[mine]]
+            for i, a, b in zip(mine.tolist(), starts.tolist(), at[mine].tolist()):
+                heads[i] = slice(a, b)
+        turns[:, 1] = place
+        u = uniform(np.repeat(seeds[doc], 2), 4 * r, (2 * place[:, None] + np.arange(2)).ravel()).reshape(-1, 2)
+        rest = np.zeros(len(doc))  # what the turn leaves of the mass
+        for i, (j, head, low, high) in enumerate(zip(source[doc].tolist(), heads, lattice.first[state].tolist(), lattice.first[state + 1].tolist())):
+            taken = used.setdefault((j, head.stop), [int(paths[j].edges[head.stop])])
+            free = np.array([e for e in range(low, high) if e not in taken])
             mass = np.exp(lattice.logp[free])
-            u = uniform(np.repeat(seeds[d], 2), 4 * r, np.array([2 * place, 2 * place + 1]))
-            turn = free[min(np.searchsorted(np.cumsum(mass), u[0] * mass.sum(), side="right"), len(free) - 1)]
-            taken.append(int(turn))
-            rest = mass.sum() - np.exp(lattice.logp[turn])
-            p.bound[at] = _below(best[d], p.before[at] + np.log(rest), u[1]) if len(free) > 1 and rest > 0 else -np.inf
-            heads.append(slice(p.offset[row], at))
-            turns[i] = turn, place, p.word[at]
+            total = mass.sum()
+            k_th = min(int(mass.cumsum().searchsorted(u[i, 0] * total, side="right")), len(free) - 1)
+            turns[i, 0] = free[k_th]
+            taken.append(int(free[k_th]))
+            rest[i] = total - mass[k_th] if len(free) > 1 else 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.where(rest > 0, _below(best[doc], before + np.log(rest), u[:, 1]), -np.inf)
+        for j, p in enumerate(paths):
+            mine = source[doc] == j
+            p.bound[at[mine]] = left[mine]
         n = lengths[doc] - turns[:, 2]  # the pre-token of the turn, from there on, and all after it
         owner, lead = np.repeat(np.arange(len(doc)), n), np.cumsum(n) - n
         which = _ramp(n) + turns[owner, 2]
@@ -240,7 +253,7 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         v = vocabulary(model)
         for batch in batches:
             texts, ids = bytes_of(batch.column(1)), batch.column(0)
-            for part in chunks(texts):
+            for part in chunks(texts, _STRETCH):
                 words, at, lengths = pre_tokens(texts[part])
                 keys = ids[part.start : part.stop]
                 seeds = mix(keys.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
@@ -265,8 +278,7 @@ def _rows(doc_id: pa.Array, rank: np.ndarray, count: np.ndarray, ids: np.ndarray
     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
     columns = {"doc_id": doc_id, "sample": pa.array(rank), "ids": lists, "log_prob": pa.array(log_prob), "perturbed": pa.array(value), "log_inclusion": pa.array(inclusion)}
     if decoder is not None:
-        texts = (decoder.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
-        columns["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+        columns["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in decoder.decode_runs(ids, ends)], pa.string())
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 

@@ -111,3 +111,33 @@ def test_token_counts_edge_cases(spark):
     assert all(r.best_log_prob <= r.log_likelihood + 1e-9 for r in got)
     assert token_counts.count_tokens(df.limit(0)).count() == 0
     assert segment_sampling.encode_samples(df.limit(0)).count() == 0
+
+
+def test_the_search_draws_for_all_texts_at_once_and_decodes_whole_runs(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import segment_sampling as g
+    from tessera.llm.pieces import pre_tokens, read_model, vocabulary
+
+    v, calls, draw = vocabulary(read_model()), [], g.uniform
+    monkeypatch.setattr(g, "uniform", lambda *a: calls.append(1) or draw(*a))
+    texts = [f"wort {i} ünd {'naïve ' * (i % 3)}\u2581 x".encode() for i in range(200)]
+
+    def sampled(some, first=0):
+        words, at, lengths = pre_tokens(some)
+        lattice = g.Lattice(words, v)
+        seeds = g.mix(np.arange(first, first + len(some)).astype(np.uint64))
+        del calls[:]
+        return lattice, g.sample_segmentations(lattice, at, lengths, seeds, 3), len(calls)
+
+    lattice, (paths, _), n = sampled(texts)
+    assert n < len(texts)
+    alone, (one, _), _ = sampled(texts[7:8], 7)
+    for p, q in zip(paths, one):
+        i = p.doc.tolist().index(7)
+        assert p.value[i] == q.value[0] and p.logp[i] == q.logp[0]
+        ids = lattice.token[p.edges].astype(np.int32)
+        assert ids[p.offset[i] : p.offset[i] + p.count[i]].tolist() == alone.token[q.edges].tolist()
+        ends = np.concatenate(([0], np.cumsum(p.count)))
+        assert [bytes(t) for t in v.decode_runs(ids, ends)] == [texts[d] for d in p.doc]
+    assert [bytes(t) for t in v.decode_runs(np.zeros(0, np.int32), np.zeros(3, np.int64))] == [b"", b""]
