@@ -116,6 +116,7 @@ def pre_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]
             words = PRE_TOKEN.findall(b" " + t)
             lengths[i] = len(words)
             found += map(index.__getitem__, words)
+    index.default_factory = None  # else the dict refers to itself, and stretch upon stretch stays until the collector comes by
     return list(index), np.array(found, dtype=np.int64), lengths
 
 

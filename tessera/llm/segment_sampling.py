@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import bytes_of
+from .common import bytes_of, portions
 from .pieces import MODEL, Vocabulary, chunks, pre_tokens, read_model, vocabulary
 
 SAMPLES = 2
@@ -251,7 +251,7 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole)):
             texts, ids = bytes_of(batch.column(1)), batch.column(0)
             for part in chunks(texts, _STRETCH):
                 words, at, lengths = pre_tokens(texts[part])

@@ -109,3 +109,16 @@ def test_tiles_of_fingerprints_find_the_links_of_all_pairs():
     assert len(set(label)) > 12
     for tile in (1, 7, 2048):
         assert near_sets.linked_sets(found, tile=tile).tolist() == label
+
+
+def test_full_batches_of_texts_are_worked_on_in_portions():
+    import pyarrow as pa
+
+    texts = [f"{i} " + "same words again and again " * 80 for i in range(4_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i).encode() for i in range(len(texts))]), pa.array(texts)], names=["key", "text"])
+    for of_text, run in ((near_sets.shingles, near_sets._sets(5)), (lambda t: near_sets.bands(near_sets.shingles(t)), near_sets._signed(5))):
+        found = list(run(iter([batch])))
+        assert len(found) > 1
+        rows = [tuple(r.values()) for x in found for r in x.to_pylist()]
+        assert [k for k, _ in rows] == batch["key"].to_pylist()
+        assert rows[-1][1] == of_text(texts[-1].encode()).tolist()

@@ -141,3 +141,34 @@ def test_the_search_draws_for_all_texts_at_once_and_decodes_whole_runs(monkeypat
         ends = np.concatenate(([0], np.cumsum(p.count)))
         assert [bytes(t) for t in v.decode_runs(ids, ends)] == [texts[d] for d in p.doc]
     assert [bytes(t) for t in v.decode_runs(np.zeros(0, np.int32), np.zeros(3, np.int64))] == [b"", b""]
+
+
+def test_a_stretch_leaves_nothing_for_the_collector():
+    import gc
+
+    from tessera.llm.pieces import pre_tokens
+
+    gc.collect()
+    gc.disable()
+    try:
+        words, at, lengths = pre_tokens([b"a new word and a new word", b"", b"another\nword"])
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+    assert words == [b" a", b" new", b" word", b" and", b" another", b"\n", b"word"]
+    assert at.tolist() == [0, 1, 2, 3, 0, 1, 2, 4, 5, 6] and lengths.tolist() == [7, 0, 3]
+
+
+def test_full_batches_are_encoded_in_portions(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = spark.range(0).selectExpr("id as doc_id", "'' as text")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: run)
+    held, bytes_of = [], segment_sampling.bytes_of
+    monkeypatch.setattr(segment_sampling, "bytes_of", lambda column: held.append(len(column)) or bytes_of(column))
+    texts = ["some words " * 2_500 + str(i) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found = [r for x in segment_sampling.encode_samples(rows, decoded=True)(iter([batch])) for r in x.to_pylist()]
+    assert len(held) > 1 and sum(held) == 200
+    assert sorted((r["doc_id"], r["sample"]) for r in found) == [(i, s) for i in range(200) for s in (1, 2)]
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in found)
