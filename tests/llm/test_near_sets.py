@@ -122,3 +122,63 @@ def test_full_batches_of_texts_are_worked_on_in_portions():
         rows = [tuple(r.values()) for x in found for r in x.to_pylist()]
         assert [k for k, _ in rows] == batch["key"].to_pylist()
         assert rows[-1][1] == of_text(texts[-1].encode()).tolist()
+
+
+def test_pairs_that_fingerprints_or_bands_lose_are_linked(spark, monkeypatch):
+    base = " ".join(f"a7224x{j}" for j in range(8))
+    a, b = (near_sets.shingles(x.encode()) for x in (base, base + " z64"))
+    assert (len(np.intersect1d(a, b)), len(b)) == (4, 5)  # a similarity of 0.8 at 32 differing bits
+    assert near_sets.linked_sets([a, b]).tolist() == [0, 1]
+    rows = [(1, base), (2, base + " z64"), (3, " ".join(f"a7224x{j}" for j in range(7)))]
+    got = near_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3)]
+    texts = copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(components(sets(texts))))
+    monkeypatch.setattr(near_sets, "connected_components", lambda links, found=near_sets.connected_components, calls=[]: (calls.append(1), found(links.limit(9) if len(calls) < 3 else links))[1])
+    assert {r.doc_id: r.component_id for r in near_sets.near_duplicates(df).collect()} == want  # hardly any link by bands
+
+
+def test_prefixes_of_similar_sets_have_enough_in_common():
+    rng = np.random.default_rng(3)
+    for n in range(1, 160):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for gone in range(n):
+            kept = np.sort(rng.choice(a, n - gone, replace=False))
+            more = rng.integers(0, max(1, n // 4))
+            b = np.unique(np.concatenate([kept, rng.integers(-(1 << 62), 1 << 62, more)]))
+            if 5 * (n - gone) < 4 * (n + len(b) - (n - gone)):
+                break
+            (p, least), (q, most) = near_sets.prefix(a), near_sets.prefix(b)
+            assert len(np.intersect1d(p, q)) >= max(least, most)
+
+
+def test_the_rest_is_what_all_pairs_link():
+    rng = np.random.default_rng(7)
+    common = rng.integers(-(1 << 62), 1 << 62, 25)
+    base = [np.concatenate([common, rng.integers(-(1 << 62), 1 << 62, n)]) for n in (0, 5, 20, 40, 90)]
+    found = [np.unique(np.concatenate([rng.choice(b, len(b) - k, replace=False), rng.integers(-(1 << 62), 1 << 62, k)])) for b in base for k in (0, 0, 1, 2, 3, 5, 8, 13)]
+    start = rng.integers(0, 30, len(found))
+    label = start.tolist()
+    for i in range(len(found)):
+        for j in range(i):
+            both = len(np.intersect1d(found[i], found[j]))
+            if 5 * both >= 4 * (len(found[i]) + len(found[j]) - both) and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert 1 < len(set(label)) < len(set(start.tolist()))
+    assert near_sets.linked_rest(found, start).tolist() == [label.index(x) for x in label]
+
+
+def test_hashes_that_several_rows_hold():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    rows = [0, 1, 2, 70_000, 70_001, (1 << 33) + 5, (1 << 33) + 6, 4]  # two files of a task, and a third out of order
+    held = [np.unique(np.append(rng.integers(0, 40, 25), rng.integers(-(1 << 62), 1 << 62, 5))) for _ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([h.tolist() for h in held], pa.list_(pa.int64()))], names=["row", "hashes"])
+    for buckets in (1, 8):
+        dealt = sorted((r for x in near_sets._dealt(buckets)([batch]) for r in x.to_pylist()), key=lambda r: r["bucket"])
+        sorted_ = pa.RecordBatch.from_pylist(dealt, schema=next(near_sets._dealt(buckets)([batch])).schema)
+        got = {(r["row"], r["hash"]) for x in near_sets._met(buckets)([sorted_]) for r in x.to_pylist()}
+        count = {h: sum(h in o.tolist() for o in held) for o in held for h in o.tolist()}
+        assert got == {(r, h) for r, o in zip(rows, held) for h in o.tolist() if count[h] > 1}
