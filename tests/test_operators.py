@@ -321,6 +321,18 @@ def test_placement_on_more_nodes_than_a_block(spark, zones):
     assert chosen(placement.rendezvous(keys, table, 40)) == {k: best(k) for k in names}
 
 
+def test_nodes_are_copied_for_tasks_not_for_tasks_and_blocks(spark, monkeypatch):
+    numbered, dealt = placement._numbered, []
+    monkeypatch.setattr(placement, "_BLOCK", 8)
+    monkeypatch.setattr(placement, "_numbered", lambda n: dealt.append(n) or numbered(n))
+    nodes = [f"n{i}" for i in range(128)]
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(20)], "key string")
+    got = placement.rendezvous(keys, spark.createDataFrame([(n,) for n in nodes], "node string"), 1).collect()
+    blocks, chunks = dealt
+    assert blocks == 16 and blocks * chunks <= max(8 * spark.sparkContext.defaultParallelism, blocks)
+    assert len(got) == 20
+
+
 def test_repair_plan_places_its_targets_once(spark, sf_dir, monkeypatch):
     from tessera.plans import QUERIES
 
